@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "secrets", "bpe", "langid")
+MODULES = ("simhash", "secrets", "bpe", "langid", "mixing")
 
 
 def queries() -> dict:
