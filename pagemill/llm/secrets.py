@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.store import table
+from pagemill.llm.store import cut, table
 
 REACH = 500
 _LONGEST = 600  # no part is longer
@@ -74,7 +74,7 @@ def _row(id_col: str, text_col: str):
 def _findings(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.where(F.col(text_col).cast("string").rlike(NEEDED)).select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = wanted.mapInArrow(_scan(), f"row long, doc_id {kind}, {_PARTS}").dropDuplicates(["row", "start_char"])
+    parts = cut(wanted.mapInArrow(_scan(), f"row long, doc_id {kind}, {_PARTS}").dropDuplicates(["row", "start_char"]), "parts")  # read three times below
     bin_size = reach + _LONGEST
     secret = parts.where("part = 'secret'").select("row", "scope", F.col("start_char").alias("s0"), F.col("end_char").alias("s1"), F.col("kind").alias("secret_kind"), F.col("strong").alias("secret_strong"), F.explode(F.sequence(F.floor((F.col("start_char") - reach - _LONGEST) / bin_size), F.floor((F.col("end_char") + reach) / bin_size))).alias("bin"))
     other = parts.where("part <> 'secret'").withColumn("bin", F.floor(F.col("start_char") / bin_size))
