@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "secrets", "bpe", "langid", "mixing", "media", "chat", "search", "suffixes")
+MODULES = ("simhash", "secrets", "bpe", "langid", "mixing", "media", "chat", "search", "suffixes", "lm")
 
 
 def queries() -> dict:
