@@ -1 +1 @@
-
+"""Readers and converters."""
