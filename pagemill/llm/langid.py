@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams.
 
-A language is a probability for each piece of a fixed public vocabulary. A word's likelihood is the sum, over all ways to cut it into pieces, of the product of the pieces' probabilities (a forward algorithm over byte positions); a text's is the product over its words, runs of letters. Word likelihoods are computed once for each distinct word of some megabytes of text, for all words and languages at a time.
+A language is a probability for each piece of a fixed public vocabulary. A word's likelihood is the sum, over all ways to cut it into pieces, of the product of the pieces' probabilities (a forward algorithm over byte positions); a text's is the product over its words, runs of letters. Word likelihoods are computed once for each distinct word of two megabytes of text, for all words and languages at a time.
 """
 
 from __future__ import annotations
@@ -201,7 +201,7 @@ def decide(logs: np.ndarray, letters: np.ndarray, model: Model) -> dict[str, np.
 
 
 def _decisions(batch: pa.RecordBatch, text_at: int, model: Model) -> Iterator[tuple[K.Texts, dict[str, np.ndarray], np.ndarray]]:
-    for t in K.chunks(batch.column(text_at), 1 << 23):
+    for t in K.chunks(batch.column(text_at), 1 << 21):
         logs, letters = score(t, model)
         yield t, decide(logs, letters, model), letters
 
