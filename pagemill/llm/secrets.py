@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.store import cut, table
 
 REACH = 500
-_LONGEST = 600  # no part is longer
-#: kind, class, strong, pattern; where several fit at a place, the first. The patterns mean the same to Python, Java and RE2.
+#: The forms that the SQL knows: kind, class, strong, pattern; where several fit at a place, the first. It ends secrets early, see README.
 KINDS = [
     ("private_key", "secret", True, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     ("aws_key_id", "identifier", True, r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -31,20 +30,54 @@ KINDS = [
     ("base64_string", "secret", False, r"\b[A-Za-z0-9+/]{40}\b"),
 ]
 PATTERN = "|".join(p for *_, p in KINDS)
-#: What a text must hold to have any reported part: a secret, or a strong identifier.
 NEEDED = "|".join(p for _, part, strong, p in KINDS if part == "secret" or strong)
 _SCOPE_END = r"\n[ \t]*\n"
-
-
-def parts_of(text: str, _all=re.compile(PATTERN, re.ASCII), _kinds=[(k, c, s, re.compile(p, re.ASCII)) for k, c, s, p in KINDS], _end=re.compile(_SCOPE_END)) -> list[tuple]:  # noqa: B006
+_KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_KEY_END = re.compile(_KEY_BLOCK.replace("BEGIN", "END"))
+_ASSIGNED = r"""\b(?i:password|passwd|pwd|secret|token|api_?key|secret_access_key)["']?[ \t]{0,4}[=:][ \t]{0,4}"""
+#: A quoted value ends at its quote, any other at a quote, blank or line end. An address isn't one.
+_VALUE = r"""(?!["']?https?://)(?:"(?P<double>(?:\\.|[^"\\\n])*)"|'(?P<single>(?:\\.|[^'\\\n])*)'|["']?(?P<bare>[^\s"']+)["']?)"""
+#: As KINDS, of whole secrets. A key block goes on to its end line; value says by its form whether an assigned secret is strong.
+FORMS = {
+    "private_key": ("secret", True, _KEY_BLOCK),
+    "aws_key_id": ("identifier", True, KINDS[1][3]),
+    "prefixed_token": ("secret", True, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})\b"),
+    "assigned_secret": ("secret", True, _ASSIGNED + _VALUE),
+} | {kind: (part, strong, p) for kind, part, strong, p in KINDS[5:]}
+_FORMS = re.compile("|".join(f"(?P<{kind}>{p})" for kind, (*_, p) in FORMS.items()), re.ASCII)
+_PLAIN = re.compile(r"[A-Za-z0-9+/_=-]*")
+#: A text without any of these has no reported part: a secret, or a strong identifier. Means the same to Python and Java.
+WANTED = "|".join(_ASSIGNED if kind == "assigned_secret" else p for kind, (part, strong, p) in FORMS.items() if part == "secret" or strong)
+
+
+def _assigned_kind(m: re.Match) -> str | None:
+    """assigned_secret where the value begins with 16 characters that tokens are made of; short_secret for other values of 6 characters."""
+    value = next(v for v in (m["double"], m["single"], m["bare"]) if v is not None)
+    return "assigned_secret" if len(_PLAIN.match(value)[0]) >= 16 else "short_secret" if len(value) >= 6 else None
+
+
+def _key_end(text: str, begin: int, scope_end: int) -> int:
+    """Where a key block ends whose first line ends at begin: after its end line, which may lie beyond blank lines but not beyond another block; else with its scope."""
+    another = re.compile(_KEY_BLOCK).search(text, begin)
+    end = _KEY_END.search(text, begin, another.start() if another else len(text))
+    return end.end() if end else min(scope_end, another.start() if another else scope_end)
+
+
+def parts_of(text: str) -> list[tuple]:
     """(kind, part, strong, start, end, scope) for every part of a text, in order; places count characters."""
-    out, scope, ends, at = [], 0, [m.end() for m in _end.finditer(text)], 0
-    for m in _all.finditer(text):
-        while at < len(ends) and ends[at] <= m.start():
-            at += 1
-        scope = at
-        kind, part, strong = next((k, c, s) for k, c, s, p in _kinds if p.fullmatch(m.group()))
-        out.append((kind, part, strong, m.start(), m.end(), scope))
+    out, scope, at = [], 0, 0
+    breaks = [(m.start(), m.end()) for m in re.finditer(_SCOPE_END, text)]
+    while m := _FORMS.search(text, at):
+        at, kind = m.end(), m.lastgroup
+        while scope < len(breaks) and breaks[scope][1] <= m.start():
+            scope += 1
+        if kind == "private_key":
+            at = _key_end(text, at, breaks[scope][0] if scope < len(breaks) else len(text))
+        elif kind == "assigned_secret":
+            kind = _assigned_kind(m)
+        if kind:
+            part, strong = ("secret", False) if kind == "short_secret" else FORMS[kind][:2]
+            out.append((kind, part, strong, m.start(), at, scope))
     return out
 
 
@@ -73,10 +106,11 @@ def _row(id_col: str, text_col: str):
 
 def _findings(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = docs.where(F.col(text_col).cast("string").rlike(NEEDED)).select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = docs.where(F.col(text_col).cast("string").rlike(WANTED)).select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = cut(wanted.mapInArrow(_scan(), f"row long, doc_id {kind}, {_PARTS}").dropDuplicates(["row", "start_char"]), "parts")  # read three times below
-    bin_size = reach + _LONGEST
-    secret = parts.where("part = 'secret'").select("row", "scope", F.col("start_char").alias("s0"), F.col("end_char").alias("s1"), F.col("kind").alias("secret_kind"), F.col("strong").alias("secret_strong"), F.explode(F.sequence(F.floor((F.col("start_char") - reach - _LONGEST) / bin_size), F.floor((F.col("end_char") + reach) / bin_size))).alias("bin"))
+    longest = parts.agg(F.max(F.col("end_char") - F.col("start_char"))).first()[0] or 0
+    bin_size = reach + longest
+    secret = parts.where("part = 'secret'").select("row", "scope", F.col("start_char").alias("s0"), F.col("end_char").alias("s1"), F.col("kind").alias("secret_kind"), F.col("strong").alias("secret_strong"), F.explode(F.sequence(F.floor((F.col("start_char") - reach - longest) / bin_size), F.floor((F.col("end_char") + reach) / bin_size))).alias("bin"))
     other = parts.where("part <> 'secret'").withColumn("bin", F.floor(F.col("start_char") / bin_size))
     pair = other.join(secret, ["row", "scope", "bin"]).where(f"start_char <= s1 + {reach} AND end_char >= s0 - {reach}")
     side = lambda start, kind_, strong: F.struct(F.col(start).alias("start_char"), F.col(kind_).alias("linked_kind"), F.col(strong).alias("linked_strong"))
@@ -112,7 +146,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
     Texts that can't hold a reported part aren't shuffled. A column n_chars is brought up to date for the changed texts.
     """
-    hit = F.coalesce(F.col(text_col).rlike(NEEDED), F.lit(False))
+    hit = F.coalesce(F.col(text_col).rlike(WANTED), F.lit(False))
     spans = _findings(docs, id_col, text_col, reach).where("part <> 'endpoint'").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start_char", "end_char", "kind")).alias("__spans"))
     dirty = docs.where(hit).withColumn("__row", _row(id_col, text_col)).join(spans, "__row", "left").select(*docs.columns, "__spans")
     done = dirty.mapInArrow(_masked(docs.columns.index(text_col), len(docs.columns), docs.columns), docs.schema)
