@@ -43,15 +43,21 @@ def fingerprints(t: K.Texts) -> np.ndarray:
     return out
 
 
-def _sign(id_at: int, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["id", *(f"f{i}" for i in range(LONGS))]
+def _text_hash(text_col: str):
+    """Null for a null text."""
+    text = F.col(text_col).cast("string")
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def _sign(id_at: int, text_at: int, hash_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["id", "text_hash", *(f"f{i}" for i in range(LONGS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in K.chunks(batch.column(text_at)):
                 f = fingerprints(t)[~t.null].view(np.int64)
-                ids = batch.column(id_at).slice(t.lo, t.hi - t.lo).filter(pa.array(~t.null))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(LONGS))], names=names)
+                ids, hashes = (batch.column(k).slice(t.lo, t.hi - t.lo).filter(pa.array(~t.null)) for k in (id_at, hash_at))
+                yield pa.RecordBatch.from_arrays([ids, hashes, *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(LONGS))], names=names)
 
     return run
 
@@ -132,23 +138,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are the connected components of the near-duplicate pairs; group_id is the least id of the group and keep marks it. Search: pairs that differ in at most 2 * segments - 1 of the indexed bits are always found, others up to the radius if one segment has at most one differing bit. Rows with a null id or a null text belong to no group. Texts without words (also empty ones) are compared by their bytes. Rows that repeat an id count as one document each in group_size and fall into one group if their texts are near. Other columns are not looked at. An empty table gives no rows.
     """
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign(0, 1), "id long, " + ", ".join(f"f{i} long" for i in range(LONGS))).withColumn("node", F.xxhash64(*(f"f{i}" for i in range(LONGS)))), "prints")
+    return _members(docs, id_col, text_col, segments, width, radius).drop("text_hash", "root")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, segments: int = SEGMENTS, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """As near_duplicates, with the hash of the member's text, and the group's root: groups that hold the same id may have the same group_id."""
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("text_hash")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign(0, 1, 2), "id long, text_hash long, " + ", ".join(f"f{i} long" for i in range(LONGS))).withColumn("node", F.xxhash64(*(f"f{i}" for i in range(LONGS)))), "prints")
     nodes = cut(prints.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(LONGS))), "nodes")
     edges = near_pairs(nodes, segments, width, radius).select("a", "b")
     roots = cut(components(edges.mapInArrow(spanning, "a long, b long")), "roots")
     # a node in no edge matters only where exact copies share it
     placed = nodes.join(roots, "node", "left").where("n > 1 OR root IS NOT NULL").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
     groups = placed.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("n").alias("group_size")).where("group_size > 1")
-    member = placed.join(groups, "root").select("node", "group_id", "group_size")
-    return prints.join(member, "node").select(F.col("id").alias("doc_id"), "group_id", "group_size", (F.col("id") == F.col("group_id")).alias("keep"))
+    member = placed.join(groups, "root").select("node", "root", "group_id", "group_size")
+    return prints.join(member, "node").select(F.col("id").alias("doc_id"), "group_id", "group_size", "text_hash", "root", (F.col("id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one of least id; of rows that repeat that id, one. Rows with a null id or text stay."""
-    found = near_duplicates(docs, id_col, text_col, **parameters).groupBy(F.col("doc_id").alias("__id")).agg(F.max("keep").alias("__keep"))
-    key = F.col(id_col).cast("long")
-    joined = docs.withColumn("__id", key).join(found, "__id", "left")
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("__id"))
+    """docs with one document of each near-duplicate group: the one of least id; of rows of the group that repeat that id, one. Rows of that id whose own text isn't in the group stay, as do rows with a null id or text."""
+    found = _members(docs, id_col, text_col, **parameters).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("root").alias("__group"), F.col("keep").alias("__keep")).distinct()
+    joined = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", _text_hash(text_col)).join(found, ["__id", "__text"], "left")
+    first = F.row_number().over(Window.partitionBy("__id", "__group").orderBy("__text"))
     return joined.withColumn("__n", F.when(F.col("__keep"), first)).where("__keep IS NULL OR (__keep AND __n = 1)").select(*docs.columns)
 
 
