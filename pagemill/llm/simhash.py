@@ -156,9 +156,10 @@ def _members(docs: DataFrame, id_col: str, text_col: str, segments: int = SEGMEN
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
     """docs with one document of each near-duplicate group: the one of least id; of rows of the group that repeat that id, one. Rows of that id whose own text isn't in the group stay, as do rows with a null id or text."""
-    found = _members(docs, id_col, text_col, **parameters).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("root").alias("__group"), F.col("keep").alias("__keep")).distinct()
+    rank = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("text_hash"))  # chosen before the join, so that texts are shuffled once
+    found = _members(docs, id_col, text_col, **parameters).select("doc_id", "text_hash", "root", "keep").distinct().select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), (F.col("keep") & (rank == 1)).alias("__keep"))
     joined = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", _text_hash(text_col)).join(found, ["__id", "__text"], "left")
-    first = F.row_number().over(Window.partitionBy("__id", "__group").orderBy("__text"))
+    first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__id"))
     return joined.withColumn("__n", F.when(F.col("__keep"), first)).where("__keep IS NULL OR (__keep AND __n = 1)").select(*docs.columns)
 
 
