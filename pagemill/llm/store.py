@@ -8,22 +8,55 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, one of our own if Spark runs on this machine alone; on a cluster an error, as a folder that executors don't share would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps don't recompute it and survive lost executors."""
+    """Write df to the shared folder and read it back: later steps don't recompute it and survive lost executors. The shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_scratch_path", None)
+        if path in _written:
+            _delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that cut() wrote in this process: call it when the results that read it have been written."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
