@@ -1,8 +1,8 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-Fingerprint: 256 bits, each the sign of a sum over a text's words, a word that occurs n times having the weight of the whole part of sqrt(2 n). Two texts are near-duplicates where at most `radius` bits differ. The first radius // 3 + 1 segments of equal width cover the fingerprint: of a pair within the radius one segment differs in two bits at most, so that the Hamming balls of radius 1 around both its values meet. Every fingerprint writes its ball into each segment's table and finds those that meet it there; each pair that meets in a segment comes out of it once, whatever the number of meeting points, and has its whole distance verified.
+Fingerprint: 256 bits, each the sign of a sum over a text's distinct words. Two texts are near-duplicates where at most `radius` bits differ. The first radius // 3 + 1 segments of equal width cover the fingerprint: of a pair within the radius one segment differs in two bits at most, so that the Hamming balls of radius 1 around both its values meet. Every fingerprint writes its ball into each segment's table and finds those that meet it there; each pair that meets in a segment comes out of it once, whatever the number of meeting points, and has its whole distance verified.
 
-A smaller radius has wider segments, in which fewer unrelated texts meet: with 11 segments of 23 bits they are some 10 million of 250,000 fingerprints, and grow with their square. From about 10 million different texts on, a radius of 17 (6 segments of 42 bits) costs as little as 32 does here.
+A smaller radius has wider segments, in which fewer unrelated texts meet: with 11 segments of 23 bits these are some 36 million pairs of 250,000 texts in four languages, and grow with the square. A corpus of a hundred million texts wants a radius of 23 (8 segments of 32 bits) or less.
 """
 
 from __future__ import annotations
@@ -42,10 +42,7 @@ def fingerprints(t: K.Texts) -> np.ndarray:
     w = K.words(t)
     text = np.repeat(np.arange(len(w.counts), dtype=np.uint64), w.counts)
     keys = np.sort((text << np.uint64(48)) | (w.hashes & _LOW48))
-    if len(keys):
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        times = np.diff(np.append(begin, len(keys)))
-        keys = np.repeat(keys[begin], np.floor(np.sqrt(2.0 * times)).astype(np.int64))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     first = np.searchsorted(keys, np.arange(len(w.counts) + 1, dtype=np.uint64) << np.uint64(48))
     out = K.mix(K.range_hash(K._BYTE[t.data], t.offsets[:-1], t.offsets[1:])[:, None] ^ _SALTS[None, :])
     lo = 0
@@ -115,7 +112,12 @@ def unplanes(raw: pa.Scalar, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _balls(segments: int, width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _width(n: int) -> int:
+    """Bytes of numbers below n."""
+    return max(1, -(-(n - 1).bit_length() // 8))
+
+
+def _balls(segments: int, width: int, buckets: int, wide: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(bucket, nodes, keys, who): every node's ball of radius 1 in each segment, by bucket; who is the place among nodes and the bit that was flipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def _balls(segments: int, width: int, buckets: int) -> Callable[[Iterator[pa.Rec
             for at in range(0, big.num_rows, BATCH):
                 node, *f = _numbers(big.slice(at, BATCH))
                 v = segment_values(np.stack(f, 1).view(np.uint64), segments, width)
-                nodes = planes(node, 8)
+                nodes = planes(node, wide)
                 flips = np.append(np.uint64(0), np.uint64(1) << np.arange(width, dtype=np.uint64))
                 names = np.append(_OWN, np.arange(width)).astype(np.uint64)
                 who = ((np.arange(len(node), dtype=np.uint64) << np.uint64(6))[:, None] | names[None, :]).ravel()
@@ -185,7 +187,7 @@ def cell_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _CELL = "cell int, a binary, b binary, f binary"
 
 
-def _meet(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _meet(blocks: int, wide: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         width = 1
@@ -193,7 +195,7 @@ def _meet(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for nodes, s, keys, who in zip(b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 w = unplanes(who, 3)
                 width = len(keys.as_buffer()) // len(w)
-                held.setdefault(s, []).append((unplanes(keys, width), unplanes(nodes, 8).view(np.int64)[(w >> np.uint64(6)).astype(np.int64)], (w & np.uint64(63)).astype(np.uint8)))
+                held.setdefault(s, []).append((unplanes(keys, width), unplanes(nodes, wide).view(np.int64)[(w >> np.uint64(6)).astype(np.int64)], (w & np.uint64(63)).astype(np.uint8)))
         for s in list(held):
             for a, b in meeting_pairs(*(np.concatenate(x) for x in zip(*held.pop(s), strict=True))):
                 cell = cell_of(block_of(a, blocks), block_of(b, blocks))
@@ -201,12 +203,12 @@ def _meet(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 a, b, cell = a[order], b[order], cell[order]
                 some, first = np.unique(cell, return_index=True)
                 last = np.append(first[1:], len(cell))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([planes(x[i:j], 8) for i, j in zip(first, last, strict=True)], pa.binary()) for x in (a, b)), pa.nulls(len(some), pa.binary())], names=["cell", "a", "b", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([planes(x[i:j], wide) for i, j in zip(first, last, strict=True)], pa.binary()) for x in (a, b)), pa.nulls(len(some), pa.binary())], names=["cell", "a", "b", "f"])
 
     return run
 
 
-def _spread(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _spread(blocks: int, wide: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Fingerprints to all cells of their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,23 +218,23 @@ def _spread(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for k in np.unique(block):
                 at = np.flatnonzero(block == k)
                 cells = np.unique(cell_of(np.full(blocks, k), np.arange(blocks)))
-                a, raw = planes(node[at], 8), np.ascontiguousarray(np.stack(f, 1)[at]).tobytes()
+                a, raw = planes(node[at], wide), np.ascontiguousarray(np.stack(f, 1)[at]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array([a] * len(cells), pa.binary()), pa.nulls(len(cells), pa.binary()), pa.array([raw] * len(cells), pa.binary())], names=["cell", "a", "b", "f"])
 
     return run
 
 
-def _verify(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verify(radius: int, wide: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, prints, left, right = ([np.zeros(0, np.int64)], [np.zeros((0, LONGS), np.uint64)], [], [])
         for batch in batches:
             for a, b, f in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if f.is_valid:
-                    nodes.append(unplanes(a, 8).view(np.int64))
+                    nodes.append(unplanes(a, wide).view(np.int64))
                     prints.append(np.frombuffer(f.as_buffer(), np.uint64).reshape(-1, LONGS))
                 else:
-                    left.append(unplanes(a, 8).view(np.int64))
-                    right.append(unplanes(b, 8).view(np.int64))
+                    left.append(unplanes(a, wide).view(np.int64))
+                    right.append(unplanes(b, wide).view(np.int64))
         n, f = np.concatenate(nodes), np.concatenate(prints)
         order = np.argsort(n)
         n, f = n[order], f[order]
@@ -250,15 +252,25 @@ def _verify(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of nodes (node, f0..) of different fingerprints that differ in at most radius bits: all of them, each once."""
+    """Pairs (a, b, distance), a < b, of nodes (node, f0..) of different fingerprints, numbered from 0, that differ in at most radius bits: all of them, each once."""
     segments, width = layout(radius)
     f = nodes.select("node", *_FP)
     n, parts = f.count(), shuffle_partitions(nodes.sparkSession)
+    wide = _width(n)
     buckets = max(-(-n * segments * (width + 1) // BUCKET), min(parts, -(-n // 512)), 1)
     blocks = max(-(-n // BLOCK), min(math.isqrt(parts) + 1, -(-n // 4096)), 1)
-    balls = f.mapInArrow(_balls(segments, width, buckets), "bucket int, nodes binary, segment int, keys binary, who binary")
-    met = cut(balls.repartitionById(buckets, "bucket").mapInArrow(_meet(blocks), _CELL), "met")
-    return met.unionByName(f.mapInArrow(_spread(blocks), _CELL)).repartitionById(blocks * (blocks + 1) // 2, "cell").mapInArrow(_verify(radius), "a long, b long, distance int")
+    balls = f.mapInArrow(_balls(segments, width, buckets, wide), "bucket int, nodes binary, segment int, keys binary, who binary")
+    met = cut(balls.repartitionById(buckets, "bucket").mapInArrow(_meet(blocks, wide), _CELL), "met")
+    return met.unionByName(f.mapInArrow(_spread(blocks, wide), _CELL)).repartitionById(blocks * (blocks + 1) // 2, "cell").mapInArrow(_verify(radius, wide), "a long, b long, distance int")
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """node from 0 on without gaps, from a written table with Spark's monotonic ids: these hold the writing task and the row in it, and only the tasks' counts come to the driver."""
+    task = F.shiftright("node", 33)
+    counts = sorted(map(tuple, nodes.groupBy(task).count().collect()))
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    first = nodes.sparkSession.createDataFrame([(t, b) for (t, _), b in zip(counts, before, strict=False)], "task long, first long")
+    return nodes.join(F.broadcast(first), task == F.col("task")).withColumn("node", F.col("first") + F.col("node").bitwiseAND((1 << 33) - 1)).drop("task", "first")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -273,7 +285,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS)
     """As near_duplicates, with the hash of the member's text, and the group's root: groups that hold the same id may have the same group_id."""
     prints = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("text_hash")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, "id long, text_hash long, " + ", ".join(f"{f} long" for f in _FP)), "prints")
     texts = prints.groupBy(*_FP, "text_hash").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    nodes = cut(texts.groupBy(*_FP).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.count("*").alias("texts")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = _numbered(cut(texts.groupBy(*_FP).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.count("*").alias("texts")).withColumn("node", F.monotonically_increasing_id()), "nodes"))
     links = cut(near_pairs(nodes, radius).select("a", "b"), "links")
     roots = components(links)
     both = links.union(links.select("b", "a"))

@@ -63,9 +63,9 @@ def test_long_texts_sum_in_pieces(monkeypatch):
     text = " ".join(f"w{i % 70000}" for i in range(150000))
     (one,) = prints_of([text])
     w = next(iter(kernels.chunks(pa.array([text]))))
-    h, n = np.unique(kernels.words(w).hashes & simhash._LOW48, return_counts=True)
+    h = np.unique(kernels.words(w).hashes & simhash._LOW48)
     bits = np.unpackbits(kernels.mix(h[:, None] ^ simhash._SALTS).view(np.uint8), axis=1, bitorder="little").astype(int)
-    want = ((2 * bits - 1) * np.floor(np.sqrt(2 * n)).astype(int)[:, None]).sum(0) > 0
+    want = (2 * bits - 1).sum(0) > 0
     assert (np.unpackbits(one.view(np.uint8), bitorder="little") == want).all()
 
 
