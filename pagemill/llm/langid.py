@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams.
 
-A language is a probability for each piece of a fixed public vocabulary. A word's likelihood is the sum, over all ways to cut it into pieces, of the product of the pieces' probabilities (a forward algorithm over byte positions); a text's is the product over its words, runs of letters. Word likelihoods are computed once for each distinct word of two megabytes of text, for all words and languages at a time.
+A language is a probability for each piece of a fixed public vocabulary. A word's likelihood is the sum, over all ways to cut it into pieces, of the product of the pieces' probabilities (a forward algorithm over byte positions); a text's is the product over its words, runs of letters. Word likelihoods are computed once for each distinct word of two megabytes of text, for thousands of words and all languages at a time; those of very long words a place at a time, over the pieces that match there.
 """
 
 from __future__ import annotations
@@ -18,21 +18,22 @@ from pagemill.llm import kernels as K
 from pagemill.llm.store import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LONGEST, TRAIN_DOCS, ROUNDS = 8, 400, 3
+TRAIN_DOCS, ROUNDS = 400, 3
+SLAB, LONG = 8192, 256  # words taken together, and bytes of a word that is taken alone
 #: A text is rejected where its best language explains its letters worse than this many nats a byte (a uniform choice among 64 bytes), or is less likely than not.
 WORST_NATS, LEAST_POSTERIOR = 4.16, 0.5
 _SLOTS = 1 << 18
 
 
-def read_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[bytes]:
-    """The vocabulary's lower-cased letter pieces without the leading space, up to longest bytes, and every byte that letters use."""
+def read_pieces(path: str = VOCABULARY) -> list[bytes]:
+    """The vocabulary's lower-cased letter pieces without the leading space, and every byte that letters use."""
     found = {bytes([b]) for b in range(256) if K.LETTERS[b] == b and b}
     with open(path, "rb") as f:
         for line in f:
             if line.strip():
                 piece = np.frombuffer(base64.b64decode(line.split()[0]).strip(b" "), np.uint8)
                 low = K.LETTERS[piece]
-                if 0 < len(low) <= longest and low.all():
+                if len(low) and low.all():
                     found.add(low.tobytes())
     return sorted(found)
 
@@ -43,6 +44,7 @@ class Model:
     keys: np.ndarray  # open addressing: piece hash by slot, 0 where empty
     at: np.ndarray  # piece number by slot
     probs: np.ndarray  # [pieces + 1, languages]; the last row, for what is no piece, is 0
+    longest: int  # bytes of the longest piece
 
 
 def piece_index(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +88,27 @@ class Substrings:
         return K.mix((self.prefix[starts + length] - self.prefix[starts]) * self.down[starts] + np.uint64(length))
 
 
-def word_logs(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model, longest: int = LONGEST) -> np.ndarray:
-    """[words, languages]: log of the sum over segmentations. Every word takes part as long as it lasts."""
+def word_logs(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> np.ndarray:
+    """[words, languages]: log of the sum over segmentations."""
     sub, n = Substrings(low), ends - starts
+    out = np.zeros((len(starts), model.probs.shape[1]))
     order = np.argsort(-n, kind="stable")
-    s, n = starts[order], n[order]
-    langs = model.probs.shape[1]
+    alone = int(np.searchsorted(-n[order], -LONG, "left"))
+    for i in order[:alone]:
+        out[i] = _long_word_log(sub, int(starts[i]), int(n[i]), model)
+    for lo in range(alone, len(order), SLAB):
+        at = order[lo : lo + SLAB]
+        out[at] = _slab_logs(sub, starts[at], n[at], model)
+    return out
+
+
+def _slab_logs(sub: Substrings, s: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
+    """word_logs of words by falling length: a byte position of all words at a time, each as long as it lasts."""
+    langs, longest = model.probs.shape[1], min(model.longest, int(n[0]))
     out, scale = np.zeros((len(s), langs)), np.zeros((len(s), langs))
     ring = np.zeros((longest + 1, len(s), langs))
     ring[0] = 1.0
-    active = len(s)
-    for e in range(1, int(n[0]) + 1 if len(n) else 0):
+    for e in range(1, int(n[0]) + 1):
         active = int(np.searchsorted(-n, -e, "right"))
         now = ring[e % (longest + 1)]
         now[:active] = 0.0
@@ -110,50 +122,96 @@ def word_logs(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Mode
             top = now[:active].copy()
             ring[:, :active] /= top[None]
             scale[:active] += np.log(top)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    return out
+
+
+def matches(sub: Substrings, start: int, n: int, keys: np.ndarray, at: np.ndarray, none: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, length, piece) of every piece that a word holds, by end, shorter ones first."""
+    found = []
+    for k in range(1, min(longest, n) + 1):
+        piece = look_up(keys, at, sub.hash(start + np.arange(n - k + 1), k), none)
+        some = np.flatnonzero(piece < none)
+        found.append(np.stack([some + k, np.full(len(some), k), piece[some]], 1))
+    all_ = np.concatenate(found)
+    return tuple(all_[np.lexsort((all_[:, 1], all_[:, 0]))].T)
+
+
+def _long_word_log(sub: Substrings, start: int, n: int, model: Model) -> np.ndarray:
+    end, length, piece = matches(sub, start, n, model.keys, model.at, len(model.probs) - 1, model.longest)
+    rows, before = model.probs[piece], end - length
+    cuts = np.searchsorted(end, np.arange(n + 2))
+    f, scale = np.zeros((n + 1, model.probs.shape[1])), np.zeros(model.probs.shape[1])
+    f[0] = 1.0
+    for e in range(1, n + 1):
+        x = slice(cuts[e], cuts[e + 1])
+        f[e] = np.einsum("ij,ij->j", f[before[x]], rows[x])
+        if e % 64 == 0:
+            top = f[e].copy()
+            f[max(0, e - model.longest) : e + 1] /= top
+            scale += np.log(top)
+    return np.log(f[n]) + scale
 
 
 def _expected(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, keys: np.ndarray, at: np.ndarray, p: np.ndarray, longest: int) -> np.ndarray:
-    """Expected piece counts under p by forward and backward sums; the words here have no more than 40 bytes."""
+    """Expected piece counts under p by forward and backward sums."""
     sub, total = Substrings(low), np.zeros(len(p))
     for n in np.unique(ends - starts):
         mine = np.flatnonzero(ends - starts == n)
+        if n >= LONG:
+            for i in mine:
+                total += counts[i] * _expected_in_long(sub, int(starts[i]), int(n), keys, at, p, longest)
+            continue
         for lo in range(0, len(mine), 20000):
             s, c = starts[mine[lo : lo + 20000]], counts[mine[lo : lo + 20000]]
             piece = {(e, k): look_up(keys, at, sub.hash(s + (e - k), k), len(p) - 1) for e in range(1, n + 1) for k in range(1, min(longest, e) + 1)}
+            piece = {x: i for x, i in piece.items() if (i < len(p) - 1).any()}
             a, b = np.zeros((n + 1, len(s))), np.zeros((n + 1, len(s)))
             a[0], b[n] = 1.0, 1.0
-            for e in range(1, n + 1):
-                for k in range(1, min(longest, e) + 1):
-                    a[e] += a[e - k] * p[piece[e, k]]
-            for e in range(n, 0, -1):
-                for k in range(1, min(longest, e) + 1):
-                    b[e - k] += b[e] * p[piece[e, k]]
             for (e, k), i in piece.items():
-                total += np.bincount(i, a[e - k] * p[i] * b[e] * c / a[n], len(p))
+                a[e] += a[e - k] * p[i]
+            for (e, k), i in reversed(piece.items()):
+                b[e - k] += b[e] * p[i]
+            for (e, k), i in piece.items():
+                total += np.bincount(i, a[e - k] * p[i] * b[e] * (c / a[n]), len(p))
     total[-1] = 0
     return total
 
 
-def train(texts: dict[str, pa.Array], pieces: list[bytes], rounds: int = ROUNDS, longest: int = LONGEST) -> Model:
+def _expected_in_long(sub: Substrings, start: int, n: int, keys: np.ndarray, at: np.ndarray, p: np.ndarray, longest: int) -> np.ndarray:
+    """As _expected, of one word, a place at a time; the sums are kept as logarithms."""
+    end, length, piece = matches(sub, start, n, keys, at, len(p) - 1, longest)
+    before, logs = end - length, np.log(p[piece])
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0], b[n] = 0.0, 0.0
+    cuts = np.searchsorted(end, np.arange(n + 2))
+    by_begin = np.argsort(before, kind="stable")
+    from_ = np.searchsorted(before[by_begin], np.arange(n + 2))
+    for e in range(1, n + 1):
+        x = slice(cuts[e], cuts[e + 1])
+        a[e] = np.logaddexp.reduce(a[before[x]] + logs[x])
+    for s in range(n - 1, -1, -1):
+        x = by_begin[from_[s] : from_[s + 1]]
+        b[s] = np.logaddexp.reduce(b[end[x]] + logs[x])
+    return np.bincount(piece, np.exp(a[before] + logs + b[end] - a[n]), len(p))
+
+
+def train(texts: dict[str, pa.Array], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
     """Piece probabilities by expectation maximisation on each language's texts, started from how often each piece occurs in them."""
     keys, at = piece_index(pieces)
+    longest = max(map(len, pieces))
     langs, columns = sorted(texts), []
     for lang in langs:
         raw = pa.array([b" ".join(x.as_py().encode() for x in texts[lang] if x.is_valid)], pa.binary())
         w = K.words(next(K.chunks(raw, 1 << 40)), K.LETTERS)
         _, first, counts = np.unique(w.hashes, return_index=True, return_counts=True)
-        starts, ends = w.starts[first], w.ends[first]
-        short = ends - starts <= 40
-        starts, ends, counts = starts[short], ends[short], counts[short].astype(float)
+        starts, ends, counts = w.starts[first], w.ends[first], counts.astype(float)
         p = np.zeros(len(pieces) + 1)
         sub = Substrings(w.low)
+        at_, of = _places(starts, ends)
         for k in range(1, longest + 1):
-            for off in range(40 - k + 1):
-                m = starts + off + k <= ends
-                p += np.bincount(look_up(keys, at, sub.hash(starts[m] + off, k), len(pieces)), counts[m], len(p))
+            m = at_ + k <= ends[of]
+            at_, of = at_[m], of[m]
+            p += np.bincount(look_up(keys, at, sub.hash(at_, k), len(pieces)), counts[of], len(p))
         for i in range(rounds + 1):
             p[-1] = 0
             p = (p + 0.01) / (p.sum() + 0.01 * len(pieces))
@@ -161,7 +219,14 @@ def train(texts: dict[str, pa.Array], pieces: list[bytes], rounds: int = ROUNDS,
             if i < rounds:
                 p = _expected(w.low, starts, ends, counts, keys, at, p, longest)
         columns.append(p)
-    return Model(langs, keys, at, np.stack(columns, 1) if columns else np.zeros((len(pieces) + 1, 0)))
+    return Model(langs, keys, at, np.stack(columns, 1) if columns else np.zeros((len(pieces) + 1, 0)), longest)
+
+
+def _places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte's place in some words, and which word it is in."""
+    n = ends - starts
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts, n), of
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, vocabulary: str = VOCABULARY) -> Model:

@@ -53,21 +53,6 @@ def test_bpe_of_odd_rows(spark, odd):
     assert back[6] == "naïve ééé" and back[0] is None
 
 
-def test_segmentations_against_enumeration():
-    pieces = sorted([b"a", b"b", b"ab", b"ba", b"aab"])
-    keys, at = langid.piece_index(pieces)
-    probs = np.append(np.array([0.3, 0.2, 0.25, 0.15, 0.1]), 0)[:, None]
-    model = langid.Model(["x"], keys, at, probs)
-    p = dict(zip(pieces, probs[:, 0], strict=False))
-
-    def total(w):
-        return 1.0 if not w else sum(p[w[:k]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in p)
-
-    for word in (b"a", b"abba", b"aabab", b"bbaabaabbaab"):
-        low = np.frombuffer(word, np.uint8)
-        assert langid.word_logs(low, np.array([0]), np.array([len(low)]), model)[0, 0] == pytest.approx(np.log(total(word)))
-
-
 def test_language_of_held_out_documents(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(docs.where("doc_id % 2 = 0"), langid.fit(docs.where("doc_id % 2 = 1"))).join(docs.select("doc_id", "lang"), "doc_id").where("letter_bytes >= 40").collect()
