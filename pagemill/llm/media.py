@@ -1,6 +1,6 @@
 """Media columns: what ISO media containers say about their tracks, read from the boxes without touching payloads.
 
-A container is a sequence of boxes (size, type, body), some of which hold boxes. walk() reads box headers only and steps over what it doesn't need, `mdat` above all. From a track's sample tables come the times, sizes and file offsets of its samples, hence duration, keyframes and their byte ranges.
+A container is a sequence of boxes (size, type, body), some of which hold boxes. walk() reads box headers only and steps over what it doesn't need, `mdat` above all. From a track's sample tables, and from the track runs of its fragments, come the times, sizes and file offsets of its samples, hence duration, keyframes and their byte ranges. No count is believed that the box or the file has no bytes for.
 """
 
 from __future__ import annotations
@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.store import table
 
-_HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf"}
+_HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf", b"mvex", b"moof", b"traf"}
 _ATOMS = {b"mvhd", b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64"}
+DEEPEST = 32  # boxes within boxes
+KEYFRAME = np.dtype([("sample", np.int32), ("time_s", np.float64), ("begin", np.int64), ("end", np.int64)])
 
 
 class Malformed(ValueError):
     pass
 
 
-def walk(data: memoryview, lo: int, hi: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, begin and end of the body) for each box within data[lo:hi], holders before what they hold."""
-    while lo < hi:
+def walk(data: memoryview, lo: int, hi: int) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, begin of the box, begin and end of its body) for each box within data[lo:hi], holders before what they hold."""
+    open_ = [((), lo, hi)]
+    while open_:
+        path, lo, hi = open_.pop()
+        if lo >= hi:
+            continue
         if hi - lo < 8:
             raise Malformed(f"{hi - lo} bytes after the last box")
         size, kind = struct.unpack_from(">I4s", data, lo)
@@ -40,10 +46,12 @@ def walk(data: memoryview, lo: int, hi: int, path: tuple[bytes, ...] = ()) -> It
             head += 16
         if size < head or lo + size > hi:
             raise Malformed(f"box {kind.decode('latin-1')} of {size} bytes doesn't fit")
-        yield (*path, kind), lo + head, lo + size
+        yield (*path, kind), lo, lo + head, lo + size
+        open_.append((path, lo + size, hi))
         if kind in _HOLDERS:
-            yield from walk(data, lo + head, lo + size, (*path, kind))
-        lo += size
+            if len(path) >= DEEPEST:
+                raise Malformed(f"boxes nested {DEEPEST} deep")
+            open_.append(((*path, kind), lo + head, lo + size))
 
 
 def _array(data: memoryview, lo: int, hi: int, count: int, width: int, kind: str) -> np.ndarray:
@@ -75,19 +83,23 @@ def samples(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> tuple[np.n
         lo, hi = boxes[b"stz2"]
         field, n = data[lo + 7], struct.unpack_from(">I", data, lo + 8)[0]
         if field == 4:
-            raw = np.frombuffer(data, np.uint8, (n + 1) // 2, lo + 12)
+            raw = _array(data, lo + 12, hi, (n + 1) // 2, 1, "u1")[:, 0]
             sizes = np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
-        else:
+        elif field in (8, 16):
             sizes = _array(data, lo + 12, hi, n, 1, f">u{field // 8}")[:, 0]
+        else:
+            raise Malformed(f"sample sizes of {field} bits")
     elif b"stsz" in boxes:
         lo, hi = boxes[b"stsz"]
         fixed, n = struct.unpack_from(">II", data, lo + 4)
+        if fixed and fixed * n > len(data):
+            raise Malformed("samples of more bytes than the file has")
         sizes = np.full(n, fixed, np.int64) if fixed else _array(data, lo + 12, hi, n, 1, ">u4")[:, 0]
     else:
         sizes = np.zeros(0, np.int64)
     n = len(sizes)
     steps = _table(data, boxes[b"stts"], 2) if b"stts" in boxes else np.zeros((0, 2), np.int64)
-    if n and steps[:, 0].sum() != n:
+    if steps[:, 0].sum() != n and (n or len(steps)):
         raise Malformed("stts and stsz disagree on the number of samples")
     deltas = np.repeat(steps[:, 1], steps[:, 0])
     times = np.cumsum(deltas) - deltas
@@ -111,10 +123,78 @@ def samples(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> tuple[np.n
     return times, sizes, offsets, key
 
 
+def _field(data: memoryview, at: int, hi: int, kind: str) -> int:
+    if at + struct.calcsize(kind) > hi:
+        raise Malformed("a box that is cut short")
+    return struct.unpack_from(kind, data, at)[0]
+
+
+def _track_id(data: memoryview, box: tuple[int, int]) -> int:
+    return _field(data, box[0] + (20 if data[box[0]] == 1 else 12), box[1], ">I")
+
+
+class Fragments:
+    """Samples of track runs, by track."""
+
+    def __init__(self, data: memoryview):
+        self.data, self.defaults, self.runs, self.clock, self.end = data, {}, {}, {}, 0
+        self.moof, self.first, self.track, self.base = 0, True, 0, None
+
+    def box(self, kind: bytes, begin: int, lo: int, hi: int) -> None:
+        data = self.data
+        if kind == b"trex":
+            self.defaults[_field(data, lo + 4, hi, ">I")] = tuple(_field(data, lo + 12 + 4 * i, hi, ">I") for i in range(3))
+        elif kind == b"moof":
+            self.moof, self.first = begin, True
+        elif kind == b"traf":
+            self.base = None
+        elif kind == b"tfhd":
+            flags = _field(data, lo, hi, ">I") & 0xFFFFFF
+            self.track = _field(data, lo + 4, hi, ">I")
+            at = lo + 8
+            base = self.moof if flags & 0x20000 or self.first else self.end
+            if flags & 0x1:
+                base, at = _field(data, at, hi, ">Q"), at + 8
+            at += 4 * bool(flags & 0x2)
+            own = list(self.defaults.get(self.track, (0, 0, 0)))
+            for i, bit in enumerate((0x8, 0x10, 0x20)):
+                if flags & bit:
+                    own[i], at = _field(data, at, hi, ">I"), at + 4
+            self.base, self.end, self.own, self.first = base, base, own, False
+        elif kind in (b"tfdt", b"trun") and self.base is None:
+            raise Malformed("a track run without its header")
+        elif kind == b"tfdt":
+            self.clock[self.track] = _field(data, lo + 4, hi, ">Q" if data[lo] == 1 else ">I")
+        elif kind == b"trun":
+            self._run(lo, hi)
+
+    def _run(self, lo: int, hi: int) -> None:
+        data, flags, n = self.data, _field(self.data, lo, hi, ">I") & 0xFFFFFF, _field(self.data, lo + 4, hi, ">I")
+        at, first = lo + 8, None
+        if flags & 0x1:
+            self.end, at = self.base + _field(data, at, hi, ">i"), at + 4
+        if flags & 0x4:
+            first, at = _field(data, at, hi, ">I"), at + 4
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if n * max(1, self.own[1] if 0x200 not in columns else 1) > len(data):
+            raise Malformed("samples of more bytes than the file has")
+        held = dict(zip(columns, _array(data, at, hi, n, len(columns), ">u4").T, strict=True)) if columns else {}
+        take = lambda bit, i: held.get(bit, np.full(n, self.own[i], np.int64))
+        delta, sizes, marks = take(0x100, 0), take(0x200, 1), take(0x400, 2)
+        if first is not None and n:
+            marks = np.append(first, marks[1:])
+        begin = self.clock.get(self.track, 0)
+        before = np.cumsum(sizes) - sizes
+        self.runs.setdefault(self.track, []).append((begin + np.cumsum(delta) - delta, sizes, self.end + before, marks & 0x10000 == 0))
+        self.clock[self.track] = begin + int(delta.sum())
+        self.end += int(sizes.sum())
+
+
 def tracks(raw: bytes) -> list[dict]:
-    """The container's tracks, in file order."""
+    """The container's tracks, in file order; keyframes are a table of type KEYFRAME."""
     data, out, boxes, movie = memoryview(raw), [], {}, (0, 0)
-    for path, lo, hi in walk(data, 0, len(data)):
+    fragments = Fragments(data)
+    for path, begin, lo, hi in walk(data, 0, len(data)):
         if path[-1] == b"trak":
             boxes = {}
             out.append(boxes)
@@ -122,14 +202,24 @@ def tracks(raw: bytes) -> list[dict]:
             movie = _times(data, (lo, hi))
         elif path[-1] in _ATOMS and out and b"trak" in path:
             boxes[path[-1]] = (lo, hi)
+        elif path[-1] == b"moof" or b"moof" in path or path[-1] == b"trex":
+            fragments.box(path[-1], begin, lo, hi)
     found = []
     for i, b in enumerate(out):
         scale, duration = _times(data, b[b"mdhd"]) if b"mdhd" in b else movie
         times, sizes, offsets, key = samples(data, b)
+        number = _track_id(data, b[b"tkhd"]) if b"tkhd" in b else i + 1
+        if runs := fragments.runs.get(number):
+            times, sizes, offsets, key = (np.concatenate([x, *y]) for x, y in zip((times, sizes, offsets, key), zip(*runs, strict=True), strict=True))
+            duration = max(duration, fragments.clock[number])
         lo, hi = b.get(b"stsd", (0, 0))
         codec = bytes(data[lo + 12 : lo + 16]).decode("latin-1") if hi - lo >= 16 else None
-        handler = bytes(data[b[b"hdlr"][0] + 8 : b[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in b else None
-        ranges = [{"sample": int(s) + 1, "time_s": float(times[s]) / scale if scale else None, "begin": int(offsets[s]), "end": int(offsets[s] + sizes[s])} for s in np.flatnonzero(key)]
+        lo, hi = b.get(b"hdlr", (0, 0))
+        handler = bytes(data[lo + 8 : lo + 12]).decode("latin-1") if hi - lo >= 12 else None
+        at = np.flatnonzero(key)
+        ranges = np.empty(len(at), KEYFRAME)
+        ranges["sample"], ranges["begin"], ranges["end"] = at + 1, offsets[at], offsets[at] + sizes[at]
+        ranges["time_s"] = times[at] / scale if scale else np.nan
         found.append({"track": i + 1, "handler": handler, "codec": codec, "timescale": int(scale), "duration_s": duration / scale if scale else None, "n_samples": len(sizes), "sample_bytes": int(sizes.sum()), "keyframes": ranges})
     return found
 
@@ -138,29 +228,38 @@ _RANGE = pa.struct([("sample", pa.int32()), ("time_s", pa.float64()), ("begin",
 _FIELDS = [("track", pa.int32(), "int"), ("handler", pa.string(), "string"), ("codec", pa.string(), "string"), ("timescale", pa.int64(), "long"), ("duration_s", pa.float64(), "double"), ("n_samples", pa.int32(), "int"), ("sample_bytes", pa.int64(), "long"), ("keyframes", pa.list_(_RANGE), "array<struct<sample:int,time_s:double,begin:long,end:long>>")]
 
 
+def _lists(tables: list[np.ndarray | None]) -> pa.Array:
+    """A list array of keyframe tables."""
+    held = np.concatenate([x for x in tables if x is not None] or [np.empty(0, KEYFRAME)])
+    ends = np.append(0, np.cumsum([0 if x is None else len(x) for x in tables]))
+    where = pa.array([None if x is None else int(e) for x, e in zip(tables, ends, strict=False)] + [int(ends[-1])], pa.int32())
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(held[f.name]), f.type, from_pandas=True) for f in _RANGE], fields=list(_RANGE))
+    return pa.ListArray.from_arrays(where, flat, type=pa.list_(_RANGE))
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for lo in range(0, big.num_rows, 512):
             batch = big.slice(lo, 512)
             source, rows, status = [], [], []
             for i, raw in enumerate(batch.column(1)):
-                said = None
                 try:
                     found = [] if not raw.is_valid else tracks(raw.as_buffer())
                     said = "null" if not raw.is_valid else "ok" if found else "no tracks"
-                except (Malformed, struct.error, IndexError, ValueError) as e:
+                except (Malformed, struct.error, IndexError, ValueError, OverflowError) as e:
                     found, said = [], f"malformed: {e}"
                 rows += found or [{}]
                 status += [said] * max(1, len(found))
                 source += [i] * max(1, len(found))
             ids = batch.column(0).take(pa.array(source, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(status, pa.string()), *(pa.array([r.get(k) for r in rows], t) for k, t, _ in _FIELDS)], names=["id", "status", *(k for k, *_ in _FIELDS)])
+            columns = [_lists([r.get(k) for r in rows]) if k == "keyframes" else pa.array([r.get(k) for r in rows], t) for k, t, _ in _FIELDS]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(status, pa.string()), *columns], names=["id", "status", *(k for k, *_ in _FIELDS)])
 
 
 def media_columns(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """(id, status, track, handler, codec, timescale, duration_s, n_samples, sample_bytes, keyframes), a row for each track.
 
-    keyframes: sample number from 1, decode time, and byte range [begin, end) in the container, in file order; a track without a sync table has every sample as one. A null container, one without tracks (also an empty one) and a malformed one have a row with status 'null', 'no tracks' or 'malformed: why' and null columns. Ids, also null or repeated ones, are passed on; other columns are not looked at; an empty table gives no rows.
+    keyframes: sample number from 1, decode time (edit lists and composition offsets are not applied), and byte range [begin, end) in the container, in file order; a track without a sync table has every sample as one. Samples of movie fragments follow those of the sample tables. Counts that exceed what the box or the file could hold, and boxes nested over 32 deep, are malformed. A null container, one without tracks (also an empty one) and a malformed one have a row with status 'null', 'no tracks' or 'malformed: why' and null columns. Ids, also null or repeated ones, are passed on; other columns are not looked at; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(content_col).cast("binary").alias("content")).mapInArrow(_parse, f"id {kind}, status string, " + ", ".join(f"{k} {t}" for k, _, t in _FIELDS))
