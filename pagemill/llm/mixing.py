@@ -6,6 +6,7 @@ Of all document rates r > 0 whose token sums meet the targets, the ones closest
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pagemill.llm.store import cut, table
 #: A source's default weight is its tokens to this power: between its own share (1) and an equal one (0).
 SMOOTHING = 0.5
 TOLERANCE, MOST_STEPS, BROADCAST_ROWS = 1e-12, 200, 50_000
+MOST_COPIES = 2**31 - 1
 TOKEN = "[^ \t\n\r\f]+"
 
 
@@ -36,9 +38,9 @@ def _targets(have: dict, weights: dict | None, total: float | None, smoothing: f
 def solve(histogram: DataFrame, margins: list[str], weights: dict[str, dict] | None = None, total: float | None = None, smoothing: float = SMOOTHING) -> list[dict]:
     """A dict of multipliers by group for each margin, from histogram(margins, n, docs).
 
-    A group of target 0 has multiplier -inf (rate 0). Where several margins can't be met together the last damped step is returned.
+    A group of target 0 has multiplier -inf (rate 0). Where several margins can't be met together the last damped step is returned, with a warning. The driver holds a few numbers for each group, and with several margins their Hessian; of one margin it is diagonal.
     """
-    sums = histogram.groupBy(*margins).agg(F.sum(F.col("n") * F.col("docs")).cast("double").alias("t"), F.sum(F.col("n") * F.col("n") * F.col("docs").cast("double")).alias("q")).collect()
+    sums = histogram.groupBy(*margins).agg(F.sum(F.col("n").cast("double") * F.col("docs")).alias("t"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("docs")).alias("q")).collect()
     have = [{} for _ in margins]
     square = [{} for _ in margins]
     for r in sums:
@@ -63,14 +65,18 @@ def solve(histogram: DataFrame, margins: list[str], weights: dict[str, dict] | N
             df = attach(df, spark.createDataFrame(rows, f"__g{j} {kinds[j].simpleString()}, __l{j} double"), F.col(m).eqNullSafe(F.col(f"__g{j}")), len(rows), "inner")
             tilt = tilt + F.col(f"__l{j}")
         mass = F.col("docs") * F.exp(F.least(tilt * F.col("n"), F.lit(300.0)))
-        cells = df.groupBy(*margins).agg(F.sum(mass), F.sum(mass * F.col("n")), F.sum(mass * F.col("n") * F.col("n"))).collect()
-        g, h, value = -goal / size, np.zeros((len(keys), len(keys))), -float(x @ (goal / size))
+        n = F.col("n").cast("double")
+        cells = df.groupBy(*margins).agg(F.sum(mass), F.sum(mass * n), F.sum(mass * n * n)).collect()
+        g, h, value = -goal / size, np.zeros((len(keys),) * min(2, len(margins))), -float(x @ (goal / size))
         for r in cells:
             mine = [place[j, r[j]] for j in range(len(margins))]
             s0, s1, s2 = r[len(margins) :]
             value += s0
             for a in mine:
                 g[a] += s1 / size[a]
+                if len(margins) == 1:
+                    h[a] += s2 / size[a] ** 2
+                    continue
                 for b in mine:
                     h[a, b] += s2 / size[a] / size[b]
         return value, g, h
@@ -80,8 +86,11 @@ def solve(histogram: DataFrame, margins: list[str], weights: dict[str, dict] | N
     for _ in range(MOST_STEPS):
         if np.max(np.abs(g) * size / goal) < TOLERANCE:
             break
-        h[np.diag_indices_from(h)] *= 1 + 1e-12
-        step = -np.linalg.lstsq(h, g, rcond=1e-13)[0]
+        if len(margins) == 1:
+            step = -g / np.maximum(h, 1e-300)
+        else:
+            h[np.diag_indices_from(h)] *= 1 + 1e-12
+            step = -np.linalg.lstsq(h, g, rcond=1e-13)[0]
         step *= min(1.0, 4.0 / max(np.max(np.abs(step)), 1e-300))
         while True:
             new = at(x + step)
@@ -91,6 +100,8 @@ def solve(histogram: DataFrame, margins: list[str], weights: dict[str, dict] | N
         if np.max(np.abs(step)) < 1e-14:
             break
         x, (value, g, h) = x + step, new
+    if (miss := float(np.max(np.abs(g) * size / goal))) > 1e-6:
+        warnings.warn(f"the targets can't all be met: one is missed by {miss:.2%}", stacklevel=2)
     return [none[j] | {g: float(x[place[k, g]] / size[place[k, g]]) for k, g in keys if k == j} for j in range(len(margins))]
 
 
@@ -111,15 +122,17 @@ def with_copies(counted: DataFrame, margins: list[str], multipliers: list[dict],
         tilt = tilt + F.coalesce(f"__l{j}", F.lit(0.0))
     rate = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.exp(tilt * F.col("n_tokens")))
     unit = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return counted.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + unit).cast("int")).select(*kept, "rate", "copies")
+    return counted.withColumn("rate", rate).withColumn("copies", F.floor(F.least(F.col("rate") + unit, F.lit(float(MOST_COPIES)))).cast("int")).select(*kept, "rate", "copies")
 
 
 def balance(docs: DataFrame, margins: tuple[str, ...] = ("source",), weights: dict[str, dict] | None = None, total: float | None = None, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, the margins, n_tokens, rate, copies), a row for each row of docs.
 
-    weights: by margin, the target weight of each group (one that is missing has 0); without, tokens to the power smoothing. total: target tokens, by default as many as there are. A null group is a group like others. Null texts and texts without tokens have rate 1 and one copy and count for nothing. Null ids round alike, as do rows that share an id. Other columns are not looked at. An empty table gives no rows.
+    weights: by margin, the target weight of each group (one that is missing has 0); without, tokens to the power smoothing. total: target tokens, by default as many as there are. A null group is a group like others. Null texts and texts without tokens have rate 1 and one copy and count for nothing. Null ids round alike, as do rows that share an id. Other columns are not looked at; a margin can't have the name of a result column. An empty table gives no rows.
     """
     names = list(margins)
+    if taken := {"doc_id", "n_tokens", "rate", "copies"} & set(names):
+        raise ValueError(f"a margin named {sorted(taken)[0]}")
     counted = cut(docs.select(F.col(id_col).alias("doc_id"), *names, token_count(text_col).alias("n_tokens")), "tokens")
     histogram = cut(counted.where("n_tokens > 0").groupBy(*names, F.col("n_tokens").alias("n")).agg(F.count("*").alias("docs")), "histogram")
     return with_copies(counted, names, solve(histogram, names, weights, total, smoothing), "doc_id")
