@@ -136,9 +136,10 @@ def _search(queries: Queries, idf: np.ndarray, mean: float, k: int, k1: float, b
 def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B, block_docs: int = BLOCK_DOCS, queries_a_pass: int = QUERIES_A_PASS) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of queries the k documents of highest BM25 score, exactly.
 
-    Terms are runs of letters and digits, lower-cased in ASCII; a term that a query repeats counts as often. Ties go to the lesser id. Documents with no term of the query aren't listed, so a query may have fewer than k, or, without terms, null or empty, none. Rows of docs with a null id or text are left out and count for nothing; empty texts count as documents. Each row is a document and a query of its own, also where ids repeat; null query ids are passed on. Other columns are not looked at. Empty tables give no rows. Queries are held by the driver, queries_a_pass at a time.
+    Terms are runs of letters and digits, lower-cased in ASCII; a term that a query repeats counts as often. Ties go to the lesser id. Documents with no term of the query aren't listed, so a query may have fewer than k, or, without terms, null or empty, none. Rows of docs with a null id or text are left out and count for nothing; empty texts count as documents. Each row is a document and a query of its own, also where ids repeat; null query ids are passed on. A query column named rank, doc_id or score is called query_rank and so on. Other columns are not looked at. Empty tables give no rows. Queries are held by the driver, queries_a_pass at a time.
     """
-    spark, name, kind = docs.sparkSession, query_id, queries.schema[query_id].dataType.simpleString()
+    spark, kind = docs.sparkSession, queries.schema[query_id].dataType.simpleString()
+    name = f"query_{query_id}" if query_id in ("rank", "doc_id", "score") else query_id
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found, held = [], []
 
@@ -151,18 +152,18 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_
         idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), max(words, 1) / max(n, 1)
         run = lambda floor: index.mapInArrow(_search(own, idf, mean, k, k1, b, floor), "q int, doc_id long, score double").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")))
         floor = {r["q"]: r["score"] for r in run(None).where(F.col("rank") == k).select("q", "score").collect()}
-        names = spark.createDataFrame(list(enumerate(own.ids)), f"q int, {name} {kind}")
-        found.append(run(floor).where(F.col("rank") <= k).join(names, "q").select(name, F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
+        names = spark.createDataFrame(list(enumerate(own.ids)), f"q int, name {kind}")
+        found.append(run(floor).where(F.col("rank") <= k).join(names, "q").select(F.col("name").alias(name), F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
         held.clear()
 
-    for row in queries.select(query_id, F.col(query_text).cast("string")).toLocalIterator():
+    for row in queries.select(F.col(query_id).alias("i"), F.col(query_text).cast("string").alias("t")).toLocalIterator():
         held.append(tuple(row))
         if len(held) == queries_a_pass:
             search()
     if held:
         search()
     if not found:
-        return spark.createDataFrame([], f"{name} {kind}, rank int, doc_id long, score double")
+        return spark.createDataFrame([], f"`{name}` {kind}, rank int, doc_id long, score double")
     return reduce(DataFrame.unionByName, found)
 
 
