@@ -1,6 +1,6 @@
 """Byte-level BPE by a tree reduction over the monoid of texts.
 
-encode(a + b) is made from encode(a) and encode(b): only tokens near the join can change. The pattern that precedes the merges puts a boundary before every single blank that stands between two other characters, whatever surrounds them: a match that reaches the blank's left neighbour ends there, and one that begins at the blank depends on nothing to its left. Tokens therefore are final on the far sides of the last such place in a and the first in b. A window that grows from the join until it holds both is encoded anew; the rest is kept. Texts are halved down to leaves that the tokenizer's merge routine encodes; decoding concatenates up the same tree.
+encode(a + b) is made from encode(a) and encode(b): only tokens near the join can change. The pattern that precedes the merges always puts a boundary where a character that isn't white space meets white space, and where letters, digits and punctuation (but for the apostrophe, which may begin a match with letters) meet each other: no match goes across, and what follows is matched without regard to what precedes. Tokens therefore are final on the far sides of the last such place in a and the first in b. A window that grows from the join until it holds both is encoded anew; the rest is kept. In a run without any such place, as of thousands of letters, the window grows to its ends. Texts are halved down to leaves that the tokenizer's merge routine encodes; decoding concatenates up the same tree.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pagemill.llm.store import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF, WINDOW = 2048, 32
-_FINAL = re.compile(r"(?<=\S) (?=\S)")
+LEAF, WINDOW = 256, 16
+#: Characters of the classes the pattern knows, a part of each is enough.
+_LETTERS, _DIGITS, _MARKS = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "0-9", "!-&(-/:-@\\[-`{-~\u3001\u3002\u300c\u300d\uff01\uff0c\uff1a\uff1b\uff1f"
+_FINAL = re.compile(rf"(?<=\S)(?=[ \t\n\r\f\v])|(?<=[{_LETTERS}])(?=[{_DIGITS}{_MARKS}])|(?<=[{_DIGITS}])(?=[{_LETTERS}{_MARKS}])|(?<=[{_MARKS}])(?=[{_LETTERS}{_DIGITS}])")
 
 
 class Codec:
