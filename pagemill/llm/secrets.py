@@ -44,6 +44,7 @@ FORMS = {
     "private_key": ("secret", True, _KEY_BLOCK),
     "aws_key_id": ("identifier", True, KINDS[1][3]),
     "prefixed_token": ("secret", True, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})\b"),
+    "url_password": ("secret", True, r"""://[^\s:/@"'<>]{0,256}:([^\s/@"'<>]{1,256})@"""),  # the group alone is the secret
     "assigned_secret": ("secret", True, _ASSIGNED + _VALUE),
 } | {kind: (part, strong, _PREFIX + p[2:] if kind == "assigned_id" else p) for kind, part, strong, p in KINDS[5:]}
 _FIRST = {kind: re.compile(p, re.ASCII) for kind, (_, strong, p) in FORMS.items() if strong}
@@ -77,6 +78,9 @@ def _first_parts(text: str, breaks: list[tuple[int, int]]) -> Iterator[tuple[str
             if kind == "private_key":
                 i = bisect.bisect_left(starts, begin)
                 at = _key_end(text, at, starts[i] if i < len(starts) else len(text))
+            elif kind == "url_password":
+                begin = m.start(1)
+                at = m.end(1)
             elif kind == "assigned_secret":
                 name, begin = _assigned_kind(m), _NAME.search(text[max(last, begin - 64) : begin]).start() + max(last, begin - 64)
             if name:
@@ -132,13 +136,15 @@ def _scan() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
 
 
 def _row(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    """Of 128 bits: no two rows of a corpus share it by chance."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\u0000"), F.col(text_col).cast("string")))
 
 
-def _findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
-    wanted = docs.where(F.col(text_col).cast("string").rlike(WANTED)).select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = cut(wanted.mapInArrow(_scan(), f"row long, doc_id {kind}, {_PARTS}").dropDuplicates(["row", "start_char", "kind"]), "parts")  # read twice below
+def _findings(wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of rows whose text fits WANTED."""
+    kind = wanted.schema[id_col].dataType.simpleString()
+    wanted = wanted.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    parts = cut(wanted.mapInArrow(_scan(), f"row string, doc_id {kind}, {_PARTS}").dropDuplicates(["row", "start_char", "kind"]), "parts")  # read twice below
     # all parts of one side have the same links in a scope, so that they are counted by scope and not in pairs
     is_secret = F.col("part") == "secret"
     scopes = parts.groupBy("row", "scope", is_secret.alias("of_secrets")).agg(F.count("*").alias("n_linked"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("linked_kinds"), F.max("strong").alias("linked_strong"))
@@ -151,7 +157,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     confidence: high for a strong part with a complementary one, medium for a strong part alone or a weak one linked to a strong one, low for weak parts that complete each other. The parts' text isn't returned. Null and empty texts have no parts; a null id is passed on; rows with the same id and text count once, and the same id with other texts is scanned for each; other columns are not looked at; an empty table gives no rows.
     """
-    return _findings(docs, id_col, text_col).drop("row")
+    return _findings(docs.where(F.col(text_col).cast("string").rlike(WANTED)), id_col, text_col).drop("row")
 
 
 def _masked(at: int, spans_at: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -177,15 +183,24 @@ def _masked(at: int, spans_at: int, names: list[str]) -> Callable[[Iterator[pa.R
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the secrets and identifiers that scan() reports replaced by their kind in brackets; all rows and columns stay.
 
-    Texts that can't hold a reported part aren't shuffled. A column n_chars is brought up to date for the changed texts.
+    Texts that can't hold a reported part aren't shuffled; null and empty ones stay as they are, and repeated rows are redacted alike. A column n_chars is brought up to date for the changed texts.
     """
-    hit = F.coalesce(F.col(text_col).rlike(WANTED), F.lit(False))
-    spans = _findings(docs, id_col, text_col).where("part <> 'endpoint'").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start_char", "end_char", "kind")).alias("__spans"))
-    dirty = docs.where(hit).withColumn("__row", _row(id_col, text_col)).join(spans, "__row", "left").select(*docs.columns, "__spans")
+    flag, row, held = (_unused(docs, x) for x in ("hit", "row", "spans"))
+    # the patterns are tried once on each text: what they say is written with it
+    flagged = cut(docs.withColumn(flag, F.coalesce(F.col(text_col).rlike(WANTED), F.lit(False))), "flagged")
+    dirty = flagged.where(F.col(flag)).drop(flag)
+    spans = _findings(dirty, id_col, text_col).where("part <> 'endpoint'").groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start_char", "end_char", "kind")).alias(held))
+    dirty = dirty.withColumn(row, _row(id_col, text_col)).join(spans, row, "left").select(*docs.columns, held)
     done = dirty.mapInArrow(_masked(docs.columns.index(text_col), len(docs.columns), docs.columns), docs.schema)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return docs.where(~hit).unionByName(done)
+    return flagged.where(~F.col(flag)).drop(flag).unionByName(done)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = "_" + name
+    return name
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
