@@ -1,11 +1,9 @@
 import itertools
 import random
 
-import numpy as np
-import pyarrow as pa
 import pytest
 
-from pagemill.llm import bpe, chat, kernels, langid, lm, media, mixing, search, secrets, simhash, suffixes
+from pagemill.llm import bpe, chat, langid, media, mixing, search, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, node string"
@@ -76,37 +74,6 @@ def test_mixing_of_odd_rows(spark, odd):
     assert len(got) == 9 and mixing.balance(odd.limit(0)).count() == 0
 
 
-def test_gradients_by_differences():
-    rng, net = np.random.default_rng(1), lm.Network(4, 5, 6)
-    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
-    x, y = rng.integers(0, 20, (5, 3)), rng.integers(0, 20, (5, 3))
-    fresh, h = np.ones((5, 3)), np.zeros((3, 6))
-
-    def loss():
-        hid, _ = net.forward(x, fresh, h)
-        return -net.output(hid.reshape(-1, 6), y.ravel())[0].sum()
-
-    hid, kept = net.forward(x, fresh, h)
-    g = {}
-    _, back = net.output(hid.reshape(-1, 6).copy(), y.ravel(), g)
-    net.backward(x, fresh, kept, back.reshape(hid.shape), g)
-    for i, j in ((0, 0), (3, 9), (5, 17)):
-        old = net.p["U"][i, j]
-        net.p["U"][i, j] = old + 1e-1
-        up = loss()
-        net.p["U"][i, j] = old - 1e-1
-        down = loss()
-        net.p["U"][i, j] = old
-        assert g["U"][i, j] == pytest.approx((up - down) / 2e-1, rel=0.1, abs=2e-3)
-
-
-def test_likelihood_is_of_the_whole_document():
-    net, rng = lm.Network(4, 5, 6), np.random.default_rng(2)
-    docs = [rng.integers(0, 20, n) for n in (1, 40, 333, 7)]
-    whole = lm.log_likelihoods(net, docs, 0, window=1000)
-    assert np.allclose(whole, lm.log_likelihoods(net, docs, 0, width=2, window=8), rtol=1e-4)
-
-
 def test_search_against_brute_force(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     asked = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -115,21 +82,6 @@ def test_search_against_brute_force(spark, odd):
     assert search.top_k(odd, odd.selectExpr("doc_id AS item_id", "text"), k=2).where("item_id = 2").count() == 2
 
 
-def test_repeats_against_brute_force(spark):
-    rng = random.Random(5)
-    shared = [" ".join(f"s{rng.randrange(400)}" for _ in range(n)) for n in (12, 30, 9)]
-    texts = [" ".join([f"u{rng.randrange(50)}" for _ in range(rng.randrange(30))] + [rng.choice(shared)] + [f"v{rng.randrange(50)}" for _ in range(rng.randrange(30))]) for _ in range(40)] + [None, "", "short"]
-    least = 10
-    where = {}
-    for i, t in enumerate(texts):
-        w = (t or "").split()
-        for s in range(len(w) - least + 1):
-            where.setdefault(tuple(w[s : s + least]), []).append((i, s))
-    want = {(i, s + k) for v in where.values() if len({i for i, _ in v}) > 1 for i, s in v for k in range(least)}
-    got = {(r["doc_id"], p) for r in suffixes.repeated_passages(spark.createDataFrame(rows(texts), DOCS), least=least, gram=5).collect() for p in range(r["start_word"], r["end_word"])}
-    assert got == want
-
-
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "user", "Hello?"), (1, 1, "assistant", "Hi.\nMore."), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r["chat"] for r in chat.format_chats(chat.to_transcripts(turns), chat.fit(turns)).collect()}
@@ -150,11 +102,3 @@ def test_media(spark):
     assert all(raw[k["begin"] : k["end"]] == payload[1000 * (k["sample"] - 1) :][:1000] for k in track["keyframes"])
     got = {r["id"]: r["status"] for r in media.media_columns(spark.createDataFrame([(1, raw), (2, None), (3, b""), (4, raw[:90])], "k long, c binary"), "k", "c").collect()}
     assert got[1] == "ok" and got[2] == "null" and got[3] == "no tracks" and got[4].startswith("malformed")
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert 0.5 * n < len(got) < 2 * n and all(r["round_trip"] for r in got)
