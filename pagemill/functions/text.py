@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,14 +60,20 @@ def preview(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("...")))
 
 
+def table_columns(payload: Column) -> Column:
+    """Parts between bars that aren't blank, over the whole payload; without bars, words. One at least."""
+    bars = F.size(F.filter(F.split(payload, r"\|"), lambda x: F.trim(x) != ""))
+    return F.greatest(F.lit(1), F.when(payload.contains("|"), bars).otherwise(word_count(payload)))
+
+
 def table_preview(payload: Column, limit: int = 96, mode: str = "auto", rows: int = 4) -> Column:
-    """A table payload as its first rows' cells (csv) or its dimensions (dims); auto takes csv up to 2 * limit bytes."""
+    """A table payload as its first rows' cells (csv; bars, tabs and commas part them; cut after limit characters where it has more bytes) or its dimensions (dims); auto takes csv up to 2 * limit bytes."""
     lines = F.split(payload, r"\r?\n")
     cells = lambda line: F.filter(F.transform(F.split(F.regexp_replace(line, r"[|\t]", ","), ","), F.trim), lambda x: x != "")
     full = F.filter(lines, lambda x: F.trim(x) != "")
-    dims = F.concat(F.lit("[table rows="), F.size(full).cast("string"), F.lit(" cols="), F.size(cells(payload)).cast("string"), F.lit("]"))
-    csv = F.array_join(F.slice(F.filter(F.transform(full, lambda x: F.array_join(cells(x), ", ")), lambda x: x != ""), 1, rows), " | ")
-    csv = F.when(csv == "", dims).otherwise(F.concat(F.lit("[csv "), F.substring(csv, 1, limit), F.lit("]")))
+    dims = F.concat(F.lit("[table rows="), F.greatest(F.lit(1), F.size(full)).cast("string"), F.lit(" cols="), table_columns(payload).cast("string"), F.lit("]"))
+    joined = F.array_join(F.slice(F.filter(F.transform(full, lambda x: F.array_join(cells(x), ", ")), lambda x: x != ""), 1, rows), " | ")
+    csv = F.when(joined == "", dims).otherwise(F.concat(F.lit("[csv "), preview(joined, limit), F.lit("]")))
     return dims if mode == "dims" else csv if mode == "csv" else F.when(F.octet_length(payload) <= 2 * limit, csv).otherwise(dims)
 
 
@@ -181,3 +188,66 @@ def question_and_answer(reply: Column) -> Column:
     q = F.when(two, F.trim(F.substring_index(reply, "\n", 1))).otherwise(q)
     a = F.when(two, F.trim(F.regexp_replace(reply, r"^[^\n]*\n", ""))).otherwise(a)
     return F.when((q != "") & (a != ""), F.struct(q.alias("question"), a.alias("answer")))
+
+
+def number_ratio(value: Column) -> Column:
+    """0.0x for nothing, else with two decimals, one from 10 and none from 100."""
+    return F.when(value <= 0, "0.0x").when(value >= 100, F.format_string("%.0fx", value)).when(value >= 10, F.format_string("%.1fx", value)).otherwise(F.format_string("%.2fx", value))
+
+
+def currency(value: Column) -> Column:
+    return F.when(value >= 1, F.format_string("~$%.2f", value)).when(value >= 0.01, F.format_string("~$%.3f", value)).otherwise(F.format_string("~$%.4f", value))
+
+
+def removal_note(total: Column, kept: Column) -> Column:
+    """What share of cells was left out; empty where none was."""
+    gone = F.format_string(" (%.0f%% removed as low importance/duplicates)", (total - kept) / total * 100.0)
+    return F.when((total == 0) | (kept >= total), "").otherwise(gone)
+
+
+def over(a: Column, b: Column) -> Column:
+    """a / b, and 0 where b is 0: compression, pages a second."""
+    return F.when(b == 0, 0.0).otherwise(a / b)
+
+
+def token_factor(raw: Column, compressed: Column) -> Column:
+    """raw / compressed; null where the latter is 0 or absent."""
+    return F.when(compressed > 0, raw / compressed)
+
+
+def page_precision(error_rate: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - error_rate))
+
+
+def encrypt(text: Column, key: str) -> Column:
+    """AES-GCM in base64, under a key of 16, 24 or 32 characters."""
+    return F.base64(F.aes_encrypt(text, F.lit(key), F.lit("GCM")))
+
+
+def decrypt(text: Column, key: str) -> Column:
+    return F.aes_decrypt(F.unbase64(text), F.lit(key), F.lit("GCM")).cast("string")
+
+
+def backoff_seconds(attempt: int, retry_after: float | None = None) -> float:
+    """Before the next of several calls: what the other side asks for, else 2 to the attempt, up to 64."""
+    return retry_after if retry_after is not None else float(2 ** min(attempt, 6))
+
+
+def bpe_count(text: Column, ranks_path: str) -> Column:
+    """Tokens by ranks in a JSON file {token in base64: rank} or a file of lines `token rank`, by an Arrow function; null for null."""
+
+    @F.pandas_udf("int")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+        import json
+
+        import tiktoken
+
+        with open(ranks_path, encoding="utf-8") as f:
+            raw = f.read()
+        pairs = json.loads(raw).items() if raw.lstrip().startswith("{") else (x.split() for x in raw.splitlines() if x.strip())
+        codec = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks={base64.b64decode(k): int(v) for k, v in pairs}, special_tokens={})
+        for texts in parts:
+            yield pd.Series([None if t is None else len(codec.encode_ordinary(t)) for t in texts], dtype="Int32")
+
+    return count(text)

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pagemill.functions import text as T
+from pagemill.store import numbered
 
 
 def word_distance(gold: list[str], said: list[str]) -> int:
-    row = list(range(len(said) + 1))
-    for i, g in enumerate(gold, 1):
-        left, row[0] = row[0], i
-        for j, s in enumerate(said, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (g != s))
-    return row[-1]
+    """Word edits, a row of the table at a time: insertions are a running minimum."""
+    known: dict[str, int] = {}
+    g, s = (np.array([known.setdefault(w, len(known)) for w in x], np.int64) for x in (gold, said))
+    place = np.arange(len(s) + 1)
+    row = place.copy()
+    for i, w in enumerate(g, 1):
+        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (s != w)))
+        row = np.minimum.accumulate(new - place) + place
+    return int(row[-1])
 
 
 @F.pandas_udf(DoubleType())
@@ -48,11 +53,19 @@ def numeric_stats(pairs: DataFrame, id_col: str = "doc_id", gold: str = "gold",
     return out.withColumn("precision", p).withColumn("recall", r).select(id_col, F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0), 6).alias("f1"), F.round(F.when(F.col("m") > 0, F.col("u") / F.col("m")).otherwise(1.0), 6).alias("units_ok"))
 
 
-def corpus_rollup(rows: DataFrame, value: str = "savings", latency: str = "ms") -> DataFrame:
-    """One row: mean, median (sorted[n / 2]) and nearest-rank percentiles over documents."""
-    held = F.array_sort(F.collect_list(value))
-    median = F.coalesce(F.element_at(held, F.floor(F.size(held) / 2).cast("int") + 1), F.lit(0.0))
-    return rows.agg(F.count("*").alias("docs"), F.round(F.coalesce(F.avg(value), F.lit(0.0)), 6).alias("mean_value"), median.alias("median_value"), T.nearest_rank(F.col(latency), 0.5).alias("p50"), T.nearest_rank(F.col(latency), 0.95).alias("p95"))
+def at_ranks(rows: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The values at some places, from 1, of a sorted column; 0 beyond its ends. Sorted in ranges: no task holds the column."""
+    held = {r["n"]: float(r[column]) for r in numbered(rows.select(column).where(F.col(column).isNotNull()), (column,)).where(F.col("n").isin(ranks)).collect()}
+    return [held.get(r, 0.0) for r in ranks]
+
+
+def corpus_rollup(rows: DataFrame, value: str = "savings", latency: str = "ms", pages: str | None = None, memory: str | None = None) -> DataFrame:
+    """One row: mean, median (sorted[n / 2]) and nearest-rank percentiles (sorted[round((n - 1) q)]) over documents; with their columns, mean pages a second and the most memory."""
+    n, m = rows.agg(F.count(value), F.count(latency)).first()
+    place = lambda q: int((m - 1) * q + 0.5) + 1
+    (median,), (p50, p95) = at_ranks(rows, value, [n // 2 + 1]), at_ranks(rows, latency, [place(0.5), place(0.95)])
+    out = rows.agg(F.count("*").alias("docs"), F.round(F.coalesce(F.avg(value), F.lit(0.0)), 6).alias("mean_value"), *([F.round(F.avg(T.over(F.col(pages) * 1000.0, F.col(latency))), 6).alias("pages_per_s")] if pages else []), *([F.max(memory).alias("max_memory")] if memory else []))
+    return out.select("docs", "mean_value", F.lit(median).alias("median_value"), F.lit(p50).alias("p50"), F.lit(p95).alias("p95"), *out.columns[2:])
 
 
 def gate(rollup: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -77,3 +90,33 @@ def accuracy_by_run(rows: DataFrame) -> DataFrame:
     """rows(run_id, pages, tokens, cells, cer) to tokens and cells a page, weighted by pages (one at least), and the mean of the known error rates."""
     p = F.greatest(F.lit(1), "pages")
     return rows.where("cer IS NOT NULL").groupBy("run_id").agg(F.round(F.sum("tokens") / F.sum(p), 6).alias("tokens_per_page"), F.round(F.sum("cells") / F.sum(p), 6).alias("cells_per_page"), F.round(F.avg("cer"), 6).alias("mean_cer"))
+
+
+def with_gold(rows: DataFrame, gold: DataFrame, text: str = "text") -> DataFrame:
+    """rows(rel, text) with the error rates against gold(rel, page, gold): the document's own gold text, else its pages' joined by blank lines; null without any."""
+    whole = gold.where("page IS NULL").select("rel", F.col("gold").alias("__doc"))
+    pages = gold.where("page IS NOT NULL").groupBy("rel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "gold"))), lambda x: x["gold"]), "\n\n").alias("__pages"))
+    held = rows.join(whole, "rel", "left").join(pages, "rel", "left").withColumn("gold", F.coalesce("__doc", "__pages")).drop("__doc", "__pages")
+    known = F.col("gold").isNotNull()
+    return held.withColumn("cer", F.when(known, T.character_error_rate(F.col("gold"), F.col(text)))).withColumn("wer", F.when(known, word_error_rate("gold", text)))
+
+
+def page_rows(pages: DataFrame, gold: DataFrame) -> DataFrame:
+    """(rel, page, cer_page, precision_page, tokens_gold, tokens_page, compression_ratio), a row for each gold page; a page that isn't there counts as empty."""
+    held = gold.where("page IS NOT NULL").join(pages.select("rel", "page", "text"), ["rel", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    cer = T.character_error_rate(F.col("gold"), F.col("text"))
+    a, b = T.word_count(F.col("gold")), T.word_count(F.col("text"))
+    return held.select("rel", "page", F.round(cer, 6).alias("cer_page"), F.round(T.page_precision(cer), 6).alias("precision_page"), a.alias("tokens_gold"), b.alias("tokens_page"), F.round(T.over(a.cast("double"), b.cast("double")), 6).alias("compression_ratio"))
+
+
+def bench_rows(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of documents and of pages in one table, told apart by row_type."""
+    return documents.withColumn("row_type", F.lit("doc")).unionByName(pages.withColumn("row_type", F.lit("page")), allowMissingColumns=True)
+
+
+def budget_sweep(cells: DataFrame, budgets: list[int | None]) -> DataFrame:
+    """cells once for each budget, cut to it (null keeps all), with the budget. The cells are ranked once: a rank within a budget is one within any larger one."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("importance"), "z", "y", "x")
+    ranked = cells.withColumn("__rank", F.row_number().over(w))
+    each = F.explode(F.array(*(F.lit(b).cast("int") for b in budgets)))
+    return ranked.withColumn("budget", each).where("budget IS NULL OR __rank <= budget").drop("__rank")

@@ -9,7 +9,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,18 +137,43 @@ def drop_footers(found: DataFrame) -> DataFrame:
     return found.where("cell_type <> 'FOOTER'")
 
 
+def _apart(pages: int, at: tuple[int, int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by (document, payload, reading order), those more than `pages` pages after the last kept one of their payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, kept = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, code, z = (batch.column(i) for i in at)
+            same = np.zeros(batch.num_rows, bool)
+            for c in (doc, code):
+                equal = pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy(zero_copy_only=False)
+                same[1:] = equal if c is doc else same[1:] & equal
+            same[0] = before == (doc[0].as_py(), code[0].as_py())
+            places, keep = z.to_numpy(zero_copy_only=False), ~same
+            for i in np.flatnonzero(same):
+                if i and not same[i - 1]:
+                    kept = places[i - 1]
+                if places[i] - kept > pages:
+                    keep[i], kept = True, places[i]
+            if not same[-1]:
+                kept = places[-1]
+            before = doc[-1].as_py(), code[-1].as_py()
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def dedup_window(found: DataFrame, pages: int) -> DataFrame:
     """A cell goes where a kept one of the same payload lies at most `pages` pages before; pages = 0 keeps all.
 
-    The pages of one payload are folded in order; only the last kept one matters. The fold works on the pages of repeated payloads, collected by (document, payload).
+    One pass over cells sorted by document, payload and place: only the last kept page matters.
     """
     if pages <= 0:
         return found
-    w = Window.partitionBy("doc_id", "code_id").orderBy(*READING)
-    firsts = found.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "code_id", "z").orderBy("y", "x"))).where("__n = 1").drop("__n")
-    held = F.collect_list("z").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = F.aggregate(held, F.lit(None).cast("int"), lambda last, z: F.when(last.isNull() | (z - last > pages), z).otherwise(last))
-    return firsts.withColumn("__kept", kept).where("__kept = z").drop("__kept")
+    at = tuple(found.columns.index(c) for c in ("doc_id", "code_id", "z"))
+    return found.repartition("doc_id", "code_id").sortWithinPartitions("doc_id", "code_id", *READING).mapInArrow(_apart(pages, at), found.schema)
 
 
 def run_lengths(found: DataFrame) -> DataFrame:
@@ -222,14 +249,17 @@ def decode(found: DataFrame) -> DataFrame:
 
 
 def context_line(limit: int = 96) -> Column:
-    shown = F.when(F.col("cell_type") == "TABLE", T.table_preview(F.col("text"), limit)).otherwise(T.preview(F.col("text"), limit))
+    shown = F.when(F.col("text").isNull(), "<missing>").when(F.col("cell_type") == "TABLE", T.table_preview(F.col("text"), limit)).otherwise(T.preview(F.col("text"), limit))
     return F.format_string('(z=%d,x=%d,y=%d,w=%d,h=%d,code=%s,rle=%d,imp=%d,type=%s) "%s"', "z", "x", "y", "w", "h", F.substring("code_id", 1, 16), "rle", "importance", "cell_type", T.escape_quotes(shown))
 
 
-def serialise(found: DataFrame, preset: str = "reports", label: str = "auto", limit: int = 96) -> DataFrame:
-    """(doc_id, context): header, a line for each cell with its rle, footer."""
+GRAMMAR = '\ngrammar: --select "z=0,x=0..1024,y=0..4096"\n'
+
+
+def serialise(found: DataFrame, preset: str = "reports", label: str = "auto", limit: int = 96, grammar: bool = False) -> DataFrame:
+    """(doc_id, context): header, a line for each cell with its rle, the grammar line if wanted, footer."""
     body = found.withColumn("__line", context_line(limit)).groupBy("doc_id").agg(ordered_text("__line").alias("body"))
-    return body.select("doc_id", F.concat(F.lit(f"<ctx3d grid=coarse codeset=HASH256 preset={preset} budget={label}>\n"), "body", F.lit("\n</ctx3d>\n")).alias("context"))
+    return body.select("doc_id", F.concat(F.lit(f"<ctx3d grid=coarse codeset=HASH256 preset={preset} budget={label}>\n"), "body", F.lit("\n" + GRAMMAR * grammar + "</ctx3d>\n")).alias("context"))
 
 
 def manifest(found: DataFrame, limit: int = 96) -> DataFrame:

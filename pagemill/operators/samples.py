@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.store import numbered
 
 QA_LEAST_BYTES, QA_CONTEXT_BYTES, SUMMARY_LEAST, SUMMARY_MOST, QA_A_DOC, SUMMARIES_A_DOC = 80, 900, 200, 12_000, 4, 3
 QUESTION = "What key facts are stated in the excerpt?"
@@ -19,6 +20,28 @@ def parse_tasks(said: str) -> list[str]:
     return found
 
 
+QA_SYSTEM, SUMMARY_SYSTEM = "You are an analyst who must answer strictly from the provided context.", "You write concise, factual summaries of corporate documents."
+
+
+def qa_prompt(context: Column, lang: str = "en") -> Column:
+    return F.concat(F.lit("Here is a fragment of a document:\n"), context, F.lit(f"\n\nGenerate a helpful question and a precise answer following the format:\nQuestion: ...\nAnswer: ...\nLanguage: {lang}."))
+
+
+def summary_prompt(title: Column, text: Column, lang: str = "en") -> Column:
+    return F.concat(F.lit(f"Write a concise summary of the document section. Language: {lang}.\n\nHeading: "), F.coalesce(title, F.lit("(untitled)")), F.lit("\n\n"), T.clamp_text(text, SUMMARY_MOST))
+
+
+def with_labels(samples: DataFrame, documents: DataFrame) -> DataFrame:
+    """samples with `label`: the document's title where it isn't blank, else its id."""
+    titles = documents.select("doc_id", F.when(F.trim("title") != "", F.col("title")).alias("__title"))
+    return samples.join(titles, "doc_id", "left").withColumn("label", F.coalesce("__title", F.col("doc_id").cast("string"))).drop("__title")
+
+
+def merge_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new's row of each task, and old's of tasks that new lacks."""
+    return old.join(new, "task", "left_anti").unionByName(new)
+
+
 def local_answer(context: Column) -> Column:
     return F.concat(F.lit(f"Question: {QUESTION}\nAnswer: "), T.first_words(context, 60))
 
@@ -27,15 +50,9 @@ def local_summary(title: Column, text: Column) -> Column:
     return T.first_words(F.concat(F.coalesce(title, F.lit("(untitled)")), F.lit("\n\n"), text), 80)
 
 
-def _numbered(prefix: str) -> Column:
-    """Ids that run on over all documents: positions within a document plus the counts of the documents before, so that only the counts meet in one task."""
-    return F.format_string(f"{prefix}_%06d", F.col("__before") + F.col("__n"))
-
-
-def _offsets(df: DataFrame) -> DataFrame:
-    counts = df.groupBy("doc_id").agg(F.count("*").alias("__k"))
-    before = F.coalesce(F.sum("__k").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select("doc_id", before.alias("__before")), "doc_id")
+def _numbered(first: DataFrame, prefix: str) -> DataFrame:
+    """first, written once, with ids that run on over all documents."""
+    return numbered(first, ("doc_id", "__n"), "__i").withColumn("sample_id", F.format_string(f"{prefix}_%06d", F.col("__i")))
 
 
 def qa_samples(cells: DataFrame, per_doc: int = QA_A_DOC, lang: str = "en", reply=local_answer) -> DataFrame:  # noqa: ANN001
@@ -47,7 +64,7 @@ def qa_samples(cells: DataFrame, per_doc: int = QA_A_DOC, lang: str = "en", repl
     more = F.coalesce((F.octet_length("t") < QA_CONTEXT_BYTES) & textual(F.col("k2")) & (F.col("t2") != ""), F.lit(False))
     said = pair.select("doc_id", "cell_id", F.when(more, F.array("cell_id", "id2")).otherwise(F.array("cell_id")).alias("cell_ids"), F.when(more, F.concat("t", F.lit("\n\n"), "t2")).otherwise(F.col("t")).alias("context")).withColumn("qa", T.question_and_answer(reply(F.col("context")))).where("qa IS NOT NULL")
     first = said.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_doc)
-    return _offsets(first).select(_numbered("qa").alias("sample_id"), F.lit("qa").alias("task"), "doc_id", "cell_ids", "qa.question", "qa.answer", F.lit(lang).alias("lang"), F.octet_length("context").alias("context_chars"))
+    return _numbered(first, "qa").select("sample_id", F.lit("qa").alias("task"), "doc_id", "cell_ids", "qa.question", "qa.answer", F.lit(lang).alias("lang"), F.octet_length("context").alias("context_chars"))
 
 
 def sections(cells: DataFrame) -> DataFrame:
@@ -64,7 +81,7 @@ def sections(cells: DataFrame) -> DataFrame:
 def summary_samples(cells: DataFrame, per_doc: int = SUMMARIES_A_DOC, lang: str = "en", reply=local_summary) -> DataFrame:  # noqa: ANN001
     long = sections(cells).where(F.length("text") >= SUMMARY_LEAST).withColumn("summary", F.trim(reply(F.col("title"), T.clamp_text(F.col("text"), SUMMARY_MOST)))).where("summary <> ''")
     first = long.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("section"))).where(F.col("__n") <= per_doc)
-    return _offsets(first).select(_numbered("summary").alias("sample_id"), F.lit("summary").alias("task"), "doc_id", "cell_ids", "title", "summary", F.lit(lang).alias("lang"), F.length("text").alias("context_chars"), (F.length("text") > SUMMARY_MOST).alias("truncated"))
+    return _numbered(first, "summary").select("sample_id", F.lit("summary").alias("task"), "doc_id", "cell_ids", "title", "summary", F.lit(lang).alias("lang"), F.length("text").alias("context_chars"), (F.length("text") > SUMMARY_MOST).alias("truncated"))
 
 
 def compose_context(samples: DataFrame, cells: DataFrame) -> DataFrame:

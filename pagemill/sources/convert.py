@@ -11,9 +11,11 @@ import re
 import tomllib
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.store import numbered
+
 ROWS = 50
 _BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "pre", "blockquote", "header", "footer", "main", "nav", "item", "entry", "title", "description"}
 
@@ -23,6 +25,8 @@ class _Html(HTMLParser):
         super().__init__()
         self.out: list[str] = []
         self.skip = 0
+        self.cells = 0  # of the row so far
+        self.rows = 0  # of the table so far
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
@@ -34,13 +38,23 @@ class _Html(HTMLParser):
         elif tag == "br":
             self.out.append("\n")
         elif tag in ("td", "th"):
-            self.out.append(" | ")
+            self.out.append(" | " if self.cells else "\n| ")
+            self.cells += 1
+        elif tag == "tr":
+            self.cells = 0
+        elif tag == "table":
+            self.rows = 0
+            self.out.append("\n\n")
         elif tag in _BLOCKS:
             self.out.append("\n\n")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
+        elif tag == "tr":
+            if self.cells:
+                self.out.append(" |" + ("\n|" + " --- |" * self.cells if not self.rows else ""))
+                self.rows, self.cells = self.rows + 1, 0
         elif tag in _BLOCKS or re.fullmatch("h[1-6]", tag):
             self.out.append("\n\n")
 
@@ -82,7 +96,9 @@ def render(value: object, depth: int = 3) -> str:
             keys = sorted({k for x in value for k in x})
             parts = [table(keys, [[cell(x.get(k)) for k in keys] for x in value[i : i + ROWS]]) for i in range(0, len(value), ROWS)]
             return parts[0] if len(parts) == 1 else "\n\n".join(f"{'#' * min(depth, 6)} Table chunk {i + 1}\n\n{p}" for i, p in enumerate(parts))
-        return "\n".join(f"- item {i + 1}" if isinstance(x, list | dict) else f"- {cell(x)}" for i, x in enumerate(value))
+        # of what lies in a list, objects are written out below their label; lists within lists are labels only
+        line = lambda i, x: "  " * (depth - 3) + (f"- item {i + 1}" if isinstance(x, list | dict) else f"- {cell(x)}")
+        return "\n".join(line(i, x) + (f"\n\n{render(x, depth + 1)}\n" if isinstance(x, dict) else "") for i, x in enumerate(value)).rstrip()
     return cell(value)
 
 
@@ -102,21 +118,56 @@ def delimited(raw: str, sep: str, stem: str) -> str:
     return f"# {stem}\n\n" + "\n\n".join(f"## Rows {i + 1}-{min(i + ROWS, len(body))}\n\n" + table(header, [[cell(x) for x in r] for r in body[i : i + ROWS]]) for i in range(0, len(body), ROWS))
 
 
+def _plain_tex(part: str) -> str:
+    return re.sub(r"[{}\\]", "", part).strip()
+
+
 def tex(raw: str) -> str:
+    """Headings, lists by depth, tables with a header, and everything else joined to paragraphs, which blank lines don't end."""
     out: list[str] = []
-    for line in raw.split("\n"):
+    said: list[str] = []
+    rows: list[list[str]] | None = None
+    depth = 0
+
+    def close(with_table: bool = True) -> None:
+        nonlocal rows
+        if said:
+            out.append(" ".join(said) + "\n\n")
+            said.clear()
+        if with_table and rows is not None:
+            if rows:
+                wide = max(map(len, rows))
+                rule = "|" + " --- |" * wide
+                body = ["| " + " | ".join(r + [""] * (wide - len(r) if i else 0)) + " |" for i, r in enumerate(rows)]
+                out.append("\n".join([body[0], rule, *body[1:]]) + "\n\n")
+            rows = None
+
+    for line in raw.splitlines():
         line = line.split("%", 1)[0].strip()
-        if m := re.match(r"\\(sub)?(sub)?section\*?\{(.*?)\}(.*)", line):
-            out.append("\n" + "#" * (2 + bool(m[1]) + bool(m[2])) + " " + m[3] + ("\n\n" + m[4].strip() if m[4].strip() else ""))
+        if not line:
+            continue
+        if m := re.match(r"\\((?:sub){0,2})section\s*\{([^}]*)\}", line):
+            close()
+            out.append(f"{'#' * (2 + len(m[1]) // 3)} {_plain_tex(m[2])}\n\n")
+        elif m := re.match(r"\\(begin|end)\{(?:itemize|enumerate)\}", line):
+            if m[1] == "begin":
+                close(with_table=False)
+            depth = max(0, depth + (1 if m[1] == "begin" else -1))
         elif line.startswith("\\item"):
-            out.append("- " + line[5:].strip())
-        elif m := re.match(r"\\(begin|end)\{(itemize|enumerate|tabular|document)\}", line):
-            out.append("")
-        elif "&" in line:
-            out.append("| " + " | ".join(x.strip() for x in line.removesuffix("\\\\").split("&")) + " |")
-        elif line and not re.match(r"\\(documentclass|usepackage|hline)", line):
-            out.append(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+            if rows is not None:
+                close()
+            out.append("  " * max(0, depth - 1) + f"- {_plain_tex(line[5:])}\n")
+        elif line.startswith("\\begin{tabular}"):
+            close(with_table=False)
+            rows = []
+        elif line.startswith("\\end{tabular}"):
+            close()
+        elif rows is not None:
+            rows += [c for c in ([x for x in map(_plain_tex, row.split("&")) if x] for row in line.split("\\\\")) if c]
+        else:
+            said.append(line)
+    close()
+    return "".join(out)
 
 
 def bib(raw: str) -> str:
@@ -139,11 +190,36 @@ def bbl(raw: str) -> str:
     return "\n\n".join(f"### [{k}]\n\n{' '.join(re.sub(r'\\(begin|end)\{[^}]*\}(\{[^}]*\})?', '', t).split())}" for k, t in zip(parts[1::2], parts[2::2], strict=True))
 
 
+_RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?[0-9]+)? ?|\\([^a-zA-Z])|([{}])|([^\\{}]+)|\\$")
+
+
 def rtf(raw: str) -> str:
-    raw = re.sub(r"\{\\\*?\\?(fonttbl|colortbl|stylesheet|info)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", raw)
-    raw = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("latin-1"), raw)
-    raw = re.sub(r"\\(par|line)\b ?", "\n", raw)
-    return re.sub(r"\\[a-zA-Z]+-?[0-9]* ?|[{}]", "", raw).strip()
+    """Text of the groups that hold text: braces are counted, control words go, paragraph marks are line ends, escaped characters stay."""
+    out, silent, depth = [], 0, 0  # silent: the depth of a group that holds no text
+    for m in _RTF.finditer(raw):
+        byte, word, number, sign, brace, text = m.groups()
+        if brace:
+            depth += 1 if brace == "{" else -1
+            silent = 0 if depth < silent else silent
+        elif word in ("fonttbl", "colortbl", "stylesheet", "info", "pict") or sign == "*":
+            silent = silent or depth
+        elif silent:
+            continue
+        elif byte:
+            out.append(bytes([int(byte, 16)]).decode("latin-1"))
+        elif word in ("par", "line"):
+            out.append("\n")
+        elif word == "tab":
+            out.append("\t")
+        elif word == "u" and number:
+            out.append(chr(int(number) % 65536))
+        elif sign and sign in "{}\\":
+            out.append(sign)
+        elif sign == "~":
+            out.append(" ")
+        elif text:
+            out.append(text.replace("\r", "").replace("\n", ""))
+    return "".join(out).strip()
 
 
 def to_markdown(kind: str, raw: str, stem: str) -> str | None:
@@ -175,17 +251,11 @@ def cell_column(c: Column) -> Column:
 
 
 def table_markdown(df: DataFrame, order: str, columns: list[str], rows: int = ROWS) -> DataFrame:
-    """(chunk, text): a table of df's columns for each `rows` rows in an order.
-
-    Row numbers come from ranges of the order: rows are counted within range partitions, whose counts are then summed, so that no task sees the whole table.
-    """
-    kept = df.select(order, *(c for c in columns if c != order))
-    ranged = kept.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    before = local.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    numbered = local.join(before, "__p").withColumn("n", F.col("__before") + F.col("__k"))
+    """(chunk, text): a table of df's columns for each `rows` rows in an order, ties by the columns. No task sees the whole table."""
+    kept = df.select(F.col(order).alias("__order"), *columns)
+    ranked = numbered(kept, ("__order", *columns))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell_column(F.col(c)) for c in columns)), F.lit(" |"))
     held = F.array_sort(F.collect_list(F.struct("n", line.alias("l"))))
     top = "| " + " | ".join(columns) + " |\n" + "| " + " | ".join(["---"] * len(columns)) + " |\n"
-    grouped = numbered.groupBy(F.floor((F.col("n") - 1) / rows).alias("chunk")).agg(held.alias("h"))
+    grouped = ranked.groupBy(F.floor((F.col("n") - 1) / rows).alias("chunk")).agg(held.alias("h"))
     return grouped.select("chunk", F.concat(F.lit("## Rows "), (F.col("chunk") * rows + 1).cast("string"), F.lit("-"), (F.col("chunk") * rows + F.size("h")).cast("string"), F.lit("\n\n" + top), F.array_join(F.transform("h", lambda x: x["l"]), "\n")).alias("text"))

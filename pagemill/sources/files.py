@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagemill.sources import convert as C
+from pagemill.store import numbered
 
-FORMATS = {"pdf": "pdf", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text", "html": "html", "htm": "html", "xhtml": "html", "xml": "xml", "rss": "rss", "atom": "atom", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "cfg": "ini", "csv": "csv", "tsv": "tsv", "tex": "tex", "bib": "bib", "bbl": "bbl", "log": "log", "rtf": "rtf", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image"}
+FORMATS = {"pdf": "pdf", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text", "html": "html", "htm": "html", "xhtml": "html", "xml": "xml", "rss": "rss", "atom": "atom", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "cfg": "ini", "conf": "ini", "csv": "csv", "tsv": "tsv", "tex": "tex", "bib": "bib", "bbl": "bbl", "log": "log", "rtf": "rtf", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image"}
+
+QUICK_GLOBS = "*.pdf,*.md,*.txt"
+DEFAULT_GLOBS = "*.pdf,*.md,*.txt,*.html,*.htm,*.xml,*.xhtml,*.rss,*.atom,*.json,*.yaml,*.yml,*.csv,*.tsv,*.csv.gz,*.tsv.gz,*.tex,*.bib,*.bbl,*.ini,*.cfg,*.conf,*.toml,*.log,*.rtf,*.png,*.jpg,*.jpeg"
 
 
 def glob_pattern(globs: str) -> str:
@@ -34,7 +38,7 @@ def file_format(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, ext), F.lit("unknown"))
 
 
-def discover(spark: SparkSession, root: str, globs: str = "*.pdf,*.md,*.txt") -> DataFrame:
+def discover(spark: SparkSession, root: str, globs: str = QUICK_GLOBS) -> DataFrame:
     """(path, relative, format, content) of the files under root that a glob fits; content is read only where it is used."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://")
@@ -43,12 +47,23 @@ def discover(spark: SparkSession, root: str, globs: str = "*.pdf,*.md,*.txt") ->
 
 
 def with_ids(files: DataFrame, last: int = 0) -> DataFrame:
-    """files with doc_id doc_0001 and on in the order of paths, after `last`. File lists are small beside their contents, which aren't sorted."""
-    order = files.select("path").rdd.map(lambda r: r[0]).sortBy(lambda p: p).zipWithIndex()
-    ids = order.map(lambda x: (x[0], f"doc_{x[1] + last + 1:04d}")).toDF("path string, doc_id string")
+    """files with doc_id doc_0001 and on in the order of paths, after `last`. Paths are numbered apart from the contents."""
+    ids = numbered(files.select("path"), ("path",), "__n").select("path", F.format_string("doc_%04d", F.col("__n") + last).alias("doc_id"))
     return files.join(ids, "path")
 
 
+def gather(spark: SparkSession, inputs: list[str], globs: str = DEFAULT_GLOBS) -> DataFrame:
+    """What discover() finds in each of several files, folders, or globs (which hold *, ? or [)."""
+    parts = []
+    for x in inputs:
+        if re.search(r"[*?\[]", x):
+            root = re.split(r"[*?\[]", x)[0].rsplit("/", 1)[0] or "."
+            parts.append(discover(spark, root, x[len(root) :].lstrip("/")))
+        else:
+            parts.append(discover(spark, x, globs))
+    return union_sources(parts).dropDuplicates(["path"])
+
+
 def to_text(files: DataFrame) -> DataFrame:
     """files with text and status: ok, unsupported (no reader here for the format), or failed with the reason."""
 
@@ -79,3 +94,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def gold_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(rel, page, gold) of the gold files under root: {rel}.txt has page null, {rel}/page_0001.txt page 0."""
+    raw = discover(spark, root, "*.txt").select("relative", F.decode("content", "UTF-8").alias("gold"))
+    page = F.regexp_extract("relative", r"(?:^|/)page_([0-9]{4})\.txt$", 1)
+    is_page = page != ""
+    rel = F.when(is_page, F.regexp_replace("relative", r"/?page_[0-9]{4}\.txt$", "")).otherwise(F.regexp_replace("relative", r"\.txt$", ""))
+    return raw.select(rel.alias("rel"), F.when(is_page, page.cast("int") - 1).alias("page"), "gold")
+
+
+def unit_list(raw: str) -> list[str]:
+    """A unit a line, lower-cased, without comments and repeats."""
+    return list(dict.fromkeys(x for x in (line.split("#", 1)[0].strip().lower() for line in raw.splitlines()) if x))
+
+
+def synthetic_reports(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(doc_id, text): n markdown reports with figures that follow from the seed and the number."""
+    figure = lambda k, low, high: (F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(high - low))).cast("string")
+    lines = [F.concat(F.lit("# Report "), (F.col("id") + 1).cast("string")), *(F.concat(F.lit(f"{name}: $"), figure(k, 100, 10_000), F.lit(" USD")) for k, name in enumerate(("Revenue", "Expenses", "Profit"))), F.concat(F.lit("Growth: "), figure(9, 1, 60), F.lit("%"))]
+    return spark.range(n).select("id", F.array_join(F.array(*lines), "\n\n").alias("text")).select(F.format_string("doc_%04d", F.col("id") + 1).alias("doc_id"), "text")
+
+
+def read_embeddings(spark: SparkSession, jsonl: str | None = None, index: str | None = None) -> DataFrame:
+    """Vectors from JSON lines (a row of row_type embed_meta is left out) or from a written index; exactly one of the two."""
+    if (jsonl is None) == (index is None):
+        raise ValueError("give either JSON lines or an index")
+    if index:
+        return spark.read.parquet(index)
+    raw = spark.read.json(jsonl)
+    return raw.where(F.coalesce(F.col("row_type") != "embed_meta", F.lit(True))).drop("row_type") if "row_type" in raw.columns else raw
