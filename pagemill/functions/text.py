@@ -69,7 +69,7 @@ def table_columns(payload: Column) -> Column:
 def table_preview(payload: Column, limit: int = 96, mode: str = "auto", rows: int = 4) -> Column:
     """A table payload as its first rows' cells (csv; bars, tabs and commas part them; cut after limit characters where it has more bytes) or its dimensions (dims); auto takes csv up to 2 * limit bytes."""
     lines = F.split(payload, r"\r?\n")
-    cells = lambda line: F.filter(F.transform(F.split(F.regexp_replace(line, r"[|\t]", ","), ","), F.trim), lambda x: x != "")
+    cells = lambda line: F.filter(F.transform(F.split(F.regexp_replace(line, r"[|\t]", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
     full = F.filter(lines, lambda x: x.rlike(r"\S"))
     dims = F.concat(F.lit("[table rows="), F.greatest(F.lit(1), F.size(full)).cast("string"), F.lit(" cols="), table_columns(payload).cast("string"), F.lit("]"))
     joined = F.array_join(F.slice(F.filter(F.transform(full, lambda x: F.array_join(cells(x), ", ")), lambda x: x != ""), 1, rows), " | ")
