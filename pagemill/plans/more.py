@@ -128,6 +128,7 @@ _HITS = f"WITH {P._ASKED}, {P._BM25('SELECT doc_id AS id, text FROM documents')}
 
 ORACLE_SQL: dict[str, str] = {
     "context_text": _CTX + """ SELECT doc_id, body || chr(10) || 'grammar: --select "z=0,x=0..1024,y=0..4096"' || chr(10) || '</ctx3d>' || chr(10) AS context FROM ctx""",
+    "context": _CTX + " SELECT doc_id, body || '</ctx3d>' || chr(10) AS context FROM ctx",
     "context_stats": _CTX + f""", decoded AS (SELECT doc_id, {_TOK("string_agg(text, chr(10) ORDER BY z, y)")} AS tokens_raw, count(*) AS cells, count(DISTINCT code_id) AS unique_payloads FROM cells GROUP BY doc_id)
 SELECT doc_id, tokens_raw, {_TOK("body || '</ctx3d>'")} AS tokens_context, cells, unique_payloads, round(tokens_raw / CAST({_TOK("body || '</ctx3d>'")} AS DOUBLE), 6) AS savings_ratio FROM decoded JOIN ctx USING (doc_id)""",
     "plain_text": f"{_LINES}, p AS (SELECT doc_id, z, string_agg(text, chr(10) ORDER BY y) || chr(10) AS t FROM cells GROUP BY doc_id, z) SELECT doc_id, string_agg(t, chr(10) ORDER BY z) AS text FROM p GROUP BY doc_id",

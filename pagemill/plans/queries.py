@@ -102,8 +102,7 @@ def redacted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _cells(spark, sf_dir)
-    return C.encode_metrics(found, C.drop_footers(C.budget(found, BUDGET)), C.number_guards(found))
+    return C.encode_summary(_cells(spark, sf_dir), BUDGET)
 
 
 def index_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

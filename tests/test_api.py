@@ -88,6 +88,14 @@ def test_five_verbs(spark):
     assert api.encode(wide, api.Encoder(table_tolerance=8)).where("cell_type = 'TABLE'").count() == 0
 
 
+def test_metrics_in_one_pass(spark):
+    docs = spark.createDataFrame([(i, f"HEAD {i}\n" + "\n".join(f"line {k % 4} of {i} kg" for k in range(i)) + "\nPage 1") for i in range(1, 9)], "doc_id long, text string")
+    found = cells.cells(docs)
+    for n in (1, 3, 50):
+        want = cells.encode_metrics(found, cells.drop_footers(cells.budget(found, n)), cells.number_guards(found))
+        assert sorted(map(tuple, cells.encode_summary(found, n).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_hyphens_and_unicode_reach_the_cells(spark):
     docs = spark.createDataFrame([(1, "inter-\nnational ﬁ\u0007ne\n---\nx")], "doc_id long, text string")
     assert [r["text"] for r in cells.cells(docs).orderBy("y").collect()] == ["international fine", "x"]
