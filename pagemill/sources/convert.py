@@ -8,6 +8,7 @@ import html
 import io
 import json
 import re
+import textwrap
 import tomllib
 from html.parser import HTMLParser
 
@@ -71,6 +72,60 @@ def html_text(raw: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+def fold(text: str, width: int = 80) -> str:
+    """Lines of at most width characters where words allow it; blank lines stay."""
+    one = lambda x: textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False, subsequent_indent=" " * (2 if x.startswith("* ") else 0)) or [""]
+    return "\n".join(part for line in text.split("\n") for part in one(line))
+
+
+def markdown_text(raw: str, width: int = 80) -> str:
+    """Markdown as plain text: paragraphs joined and folded, marks of emphasis, links and headings gone, code as it is."""
+    out: list[str] = []
+    said: list[str] = []
+    code = False
+
+    def close() -> None:
+        if said:
+            out.append(fold(" ".join(said), width))
+            said.clear()
+
+    for line in raw.split("\n"):
+        if re.match(r"\s*(```|~~~)", line):
+            close()
+            code = not code
+            continue
+        if code:
+            out.append(line)
+            continue
+        line = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", line)
+        line = re.sub(r"(\*\*|__|`|~~)(.+?)\1", r"\2", line)
+        line = re.sub(r"(?<![\w*])[*_](\S(?:.*?\S)?)[*_](?![\w*])", r"\1", line).strip()
+        if not line:
+            close()
+            if out and out[-1]:
+                out.append("")
+        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
+            close()
+            out.append(m[2])
+        elif re.fullmatch(r"(?:[-*_]\s*){3,}", line) or re.fullmatch(r"\|?[\s:|-]+\|?", line):
+            close()
+        elif m := re.match(r"(?:[-*+]|\d+[.)])\s+(.*)", line):
+            close()
+            said.append(("* " if line[0] in "-*+" else line.split()[0] + " ") + m[1])
+        elif line.startswith("|"):
+            close()
+            out.append(line)
+        else:
+            said.append(line.removeprefix("> "))
+    close()
+    return "\n".join(out).strip()
+
+
+def plain_text(kind: str, raw: str, width: int = 80) -> str | None:
+    """What a reader shows of a format: text as it is, markdown and HTML folded; None for others."""
+    return raw if kind == "text" else markdown_text(raw, width) if kind == "markdown" else fold(html_text(raw), width) if kind in ("html", "xml") else None
+
+
 def cell(value: object) -> str:
     if isinstance(value, list):
         return "[...]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import gzip
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -64,8 +64,11 @@ def gather(spark: SparkSession, inputs: list[str], globs: str = DEFAULT_GLOBS) -
     return union_sources(parts).dropDuplicates(["path"])
 
 
-def to_text(files: DataFrame) -> DataFrame:
-    """files with text and status: ok, unsupported (no reader here for the format), or failed with the reason."""
+def to_text(files: DataFrame, readers: dict[str, Callable[[bytes, str], str | None]] | None = None, strict: bool = False) -> DataFrame:
+    """files with text and status: ok, unsupported (no reader for the format), or failed with the reason; strict makes failures errors.
+
+    readers: by format, functions of a file's bytes and stem that give its text or None, as for pdf and image, for which there is none here. They run before the converters and must be picklable.
+    """
 
     @F.pandas_udf("text string, status string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -75,9 +78,11 @@ def to_text(files: DataFrame) -> DataFrame:
                 stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 try:
                     data = gzip.decompress(raw) if path.lower().endswith(".gz") else raw
-                    found = C.to_markdown(kind, data.decode("utf-8", "replace"), stem)
+                    found = readers[kind](data, stem) if readers and kind in readers else C.to_markdown(kind, data.decode("utf-8", "replace"), stem)
                     out.append((found, "unsupported" if found is None else "ok"))
                 except Exception as e:  # noqa: BLE001 - a document's own fault is its status
+                    if strict:
+                        raise
                     out.append((None, f"failed: {type(e).__name__}"))
             yield pd.DataFrame(out, columns=["text", "status"])
 

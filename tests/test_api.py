@@ -51,6 +51,21 @@ def test_converters():
     assert convert.html_text("<h1>T</h1><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><p>x</p>") == "# T\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\nx"
 
 
+def test_readers(spark, tmp_path):
+    md = "# Title\n\nSome **bold** and *soft* text with a [link](http://x) that goes on\nand on, so that it is longer than eighty characters wide.\n\n- one\n- two\n\n```\ncode  stays\n```\n| a | b |\n|---|---|\n| 1 | 2 |"
+    assert convert.plain_text("markdown", md) == "Title\n\nSome bold and soft text with a link that goes on and on, so that it is longer\nthan eighty characters wide.\n\n* one\n* two\n\ncode  stays\n| a | b |\n| 1 | 2 |"
+    assert convert.plain_text("html", "<p>" + "word " * 30 + "</p>").split("\n") == [" ".join(["word"] * 16), " ".join(["word"] * 14)] and convert.plain_text("pdf", "") is None
+    (tmp_path / "a.pdf").write_bytes(b"%PDF text")
+    (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "c.txt").write_bytes(b"bad \xff byte")
+    found = files.discover(spark, str(tmp_path), "*")
+    said = lambda **k: {r["relative"]: (r["text"], r["status"]) for r in files.to_text(found, **k).collect()}
+    assert said() == {"a.pdf": (None, "unsupported"), "b.json": (None, "failed: JSONDecodeError"), "c.txt": ("bad \ufffd byte", "ok")}
+    assert said(readers={"pdf": lambda data, stem: f"{stem}: {data[5:].decode()}"})["a.pdf"] == ("a: text", "ok")
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        said(strict=True)
+
+
 def test_formats(spark):
     assert [one(spark, T.number_ratio(F.col("v")), v=v) for v in (0.0, 2.5, 12.34, 250.0)] == ["0.0x", "2.50x", "12.3x", "250x"]
     assert [one(spark, T.currency(F.col("v")), v=v) for v in (1.5, 0.05, 0.001)] == ["~$1.50", "~$0.050", "~$0.0010"]
