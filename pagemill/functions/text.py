@@ -167,7 +167,7 @@ def character_error_rate(gold: Column, predicted: Column) -> Column:
 
 
 def nearest_rank(values: Column, q: float) -> Column:
-    """sorted[round((n - 1) * q)] of a column to be aggregated; 0 without values."""
+    """sorted[round((n - 1) * q)] of a column to be aggregated over groups of bounded size (operators.bench.at_ranks takes a whole corpus); 0 without values."""
     held = F.array_sort(F.collect_list(values))
     return F.coalesce(F.element_at(held, (F.round((F.size(held) - 1) * q).cast("int") + 1)), F.lit(0.0)) if q else F.coalesce(F.min(values), F.lit(0.0))
 

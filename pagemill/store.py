@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", found)
