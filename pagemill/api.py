@@ -135,12 +135,15 @@ def ingest(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame]:
 def run_tasks(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     """Samples of each task from the index under output, written under samples/ and read again."""
     _, _, cells = I.read_index(spark, config.output)
-    made = {}
     for task in S.parse_tasks(config.tasks):
         one = S.qa_samples(cells, config.per_doc, config.lang) if task == "qa" else S.summary_samples(cells, lang=config.lang)
         one.write.mode("overwrite").parquet(f"{config.output}/samples/{task}")
-        made[task] = spark.read.parquet(f"{config.output}/samples/{task}")
-    return made
+    return read_tasks(spark, config)
+
+
+def read_tasks(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
+    """The samples that run_tasks() wrote."""
+    return {task: spark.read.parquet(f"{config.output}/samples/{task}") for task in S.parse_tasks(config.tasks)}
 
 
 def run_exports(spark: SparkSession, config: Config, made: dict[str, DataFrame]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import DataFrame
@@ -24,5 +25,5 @@ def dataset_card(questions: int, summaries: int) -> str:
 def report_html(rollup: dict, rows: list[dict]) -> str:
     """A page with the rollup and a row for each document; for reports of a bounded number of rows."""
     names = list(rows[0]) if rows else []
-    line = lambda tag, xs: "<tr>" + "".join(f"<{tag}>{x}</{tag}>" for x in xs) + "</tr>"
-    return f"<html><body><pre>{json.dumps(rollup, indent=2, default=str)}</pre><table>{line('th', names)}{''.join(line('td', r.values()) for r in rows)}</table></body></html>"
+    line = lambda tag, xs: "<tr>" + "".join(f"<{tag}>{html.escape(str(x))}</{tag}>" for x in xs) + "</tr>"
+    return f"<html><body><pre>{html.escape(json.dumps(rollup, indent=2, default=str), quote=False)}</pre><table>{line('th', names)}{''.join(line('td', r.values()) for r in rows)}</table></body></html>"

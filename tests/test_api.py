@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import api, store, streaming
+from pagemill.__main__ import main
 from pagemill.functions import text as T
 from pagemill.operators import bench, cells, samples, search
-from pagemill.sinks import index
+from pagemill.sinks import index, report_html
 from pagemill.sources import convert, files
 
 
@@ -137,6 +138,32 @@ def test_run_from_a_configuration(spark, tmp_path):
     assert {r["relative"] for r in files.gather(spark, [f"{tmp_path}/in/*.md", f"{tmp_path}/in/sub"]).collect()} == {"a.md", "b.conf"}
 
 
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("ANNUAL REPORT\nRevenue 5 usd\nPage 1")
+    (tmp_path / "in" / "b.txt").write_text("quite other words")
+    at = lambda x: str(tmp_path / x)
+    run = lambda *a: main([*map(str, a)], spark)
+    run("encode", at("in"), "--output", at("c"), "--drop-footers")
+    run("decode", at("c"), "--output", at("t"))
+    assert {r["doc_id"]: r["text"] for r in spark.read.json(at("t")).collect()} == {"doc_0001": "ANNUAL REPORT\nRevenue 5 usd", "doc_0002": "quite other words"}
+    run("decode", at("c"), "--output", at("s"), "--select", "z=0,x=0..2000,y=90..100")
+    assert [r["text"] for r in spark.read.json(at("s")).collect()] == ["Revenue 5 usd"]
+    run("search", at("c"), "revenue usd", "--output", at("f"), "--top", 1)
+    assert [r["doc_id"] for r in spark.read.json(at("f")).collect()] == ["doc_0001"]
+    for verb, rows in (("cells", 4), ("stats", 2), ("text", 2)):
+        run(verb, at("in/*.txt"), "--output", at(verb))
+        assert spark.read.json(at(verb)).count() == rows
+    run("context", at("in"), "--output", at("x"))
+    assert spark.read.text(at("x")).where("value LIKE '(z=%'").count() == 4
+    (tmp_path / "r.yaml").write_text(f"source: {at('in')}\noutput: {at('o')}\ntasks: qa\n")
+    run("run", "--config", at("r.yaml"))
+    assert spark.read.parquet(at("o/index/cells")).count() == 4 and spark.read.parquet(at("o/samples/qa")).count() == 0
+    with pytest.raises(SystemExit):
+        run("nothing")
+    assert "&lt;b&gt;" in report_html({"a": 1}, [{"x": "<b>"}])
+
+
 def test_containers(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Same line\nother\fSame line"), (2, "x")], "doc_id long, text string")
     found = cells.cells(docs)
@@ -182,6 +209,7 @@ def test_embeddings(spark, tmp_path):
     assert got["a"] == [1.0] and len(got["b"]) == 4 and np.isclose(np.linalg.norm(got["c"]), 1)
     assert [r["chunk_id"] for r in search.in_output_order(search.embed(chunks, 4, limit=2)).collect()] == ["b", "a"]
     index.write_embeddings(search.embed(chunks, 4), str(tmp_path / "e"), "hash", 4)
+    assert {tuple(r["embedding"]) for r in search.embed(chunks, backend=lambda t: F.array(F.length(t).cast("double"))).collect()} == {(3.0,), (5.0,)}
     assert files.read_embeddings(spark, jsonl=str(tmp_path / "e/*")).count() == 3
     with pytest.raises(ValueError):
         files.read_embeddings(spark)
