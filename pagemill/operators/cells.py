@@ -284,9 +284,11 @@ def encode_metrics(found: DataFrame, kept: DataFrame, guards: DataFrame) -> Data
 
 def encode_summary(found: DataFrame, n: int) -> DataFrame:
     """encode_metrics() of cells cut to the n most important and then rid of footers, in one pass: cells are ranked once, and kept ones and numbers are counted beside the others."""
-    ranked = found.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("importance"), *READING)))
-    kept = (F.col("__rank") <= n) & (F.col("cell_type") != "FOOTER")
-    out = ranked.groupBy("doc_id").agg((F.max("z") + 1).alias("pages"), F.count("*").alias("cells_total"), F.count_if(kept).alias("cells_kept"), F.coalesce(F.sum(F.regexp_count(F.lower("text"), F.lit(T.GUARD))), F.lit(0)).alias("numguard_count"), F.countDistinct("code_id").alias("payloads"), F.sum(T.word_count(F.col("text"))).alias("tokens"))
+    # texts are counted where the cells are made: they aren't shuffled or sorted
+    counted = found.select("doc_id", *READING, "importance", "cell_type", "code_id", T.word_count(F.col("text")).alias("words"), F.coalesce(F.regexp_count(F.lower("text"), F.lit(T.GUARD)), F.lit(0)).alias("numbers"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("importance"), *READING)))
+    kept = (F.col("rank") <= n) & (F.col("cell_type") != "FOOTER")
+    out = ranked.groupBy("doc_id").agg((F.max("z") + 1).alias("pages"), F.count("*").alias("cells_total"), F.count_if(kept).alias("cells_kept"), F.sum("numbers").alias("numguard_count"), F.countDistinct("code_id").alias("payloads"), F.sum("words").alias("tokens"))
     return out.select("doc_id", "pages", F.col("cells_total").alias("lines_total"), "cells_total", "cells_kept", "numguard_count", F.round(F.col("cells_total") / F.col("payloads"), 6).alias("dedup_ratio"), "tokens")
 
 
