@@ -219,6 +219,12 @@ def page_precision(error_rate: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - error_rate))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do that work in binary: scaled, halves away from zero, scaled back. F.round takes the shortest decimal of x instead, which is another number where x lies next to a half."""
+    scale = F.lit(float(10**digits))
+    return F.round(x * scale) / scale
+
+
 def encrypt(text: Column, key: str) -> Column:
     """AES-GCM in base64, under a key of 16, 24 or 32 characters."""
     return F.base64(F.aes_encrypt(text, F.lit(key), F.lit("GCM")))

@@ -102,7 +102,7 @@ def page_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = P.table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
-    return o.select("o_orderkey", T.grouped_thousands(F.floor(price)).alias("grouped"), T.number_ratio(F.floor(price / 100).cast("double")).alias("ratio"), T.currency(F.floor(price).cast("double")).alias("currency"), F.round(T.token_factor(price, F.col("o_orderkey") % 3), 6).alias("factor"), F.round(T.page_precision(1 - price / 200_000), 6).alias("precision"))
+    return o.select("o_orderkey", T.grouped_thousands(F.floor(price)).alias("grouped"), T.number_ratio(F.floor(price / 100).cast("double")).alias("ratio"), T.currency(F.floor(price).cast("double")).alias("currency"), T.round_binary(T.token_factor(price, F.col("o_orderkey") % 3), 6).alias("factor"), T.round_binary(T.page_precision(1 - price / 200_000), 6).alias("precision"))
 
 
 def made_up_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
