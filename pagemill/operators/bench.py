@@ -4,26 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pagemill.functions import text as T
+from pagemill.functions.edits import codes, distance
 from pagemill.store import numbered
 
 
 def word_distance(gold: list[str], said: list[str]) -> int:
-    """Word edits, a row of the table at a time: insertions are a running minimum."""
-    known: dict[str, int] = {}
-    g, s = (np.array([known.setdefault(w, len(known)) for w in x], np.int64) for x in (gold, said))
-    place = np.arange(len(s) + 1)
-    row = place.copy()
-    for i, w in enumerate(g, 1):
-        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (s != w)))
-        row = np.minimum.accumulate(new - place) + place
-    return int(row[-1])
+    return distance(*codes(gold, said))
 
 
 @F.pandas_udf(DoubleType())
