@@ -66,9 +66,9 @@ def collection_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer prompt for each benchmark item, from the three documents of best BM25 score."""
     asked = P._asked(spark, sf_dir)
-    hits = R.best(R.bm25(P.table(spark, sf_dir, "documents"), asked, "doc_id", "query_id"), 3, "query_id", "doc_id")
+    hits = R.best(R.bm25(P.table(spark, sf_dir, "documents"), asked, "doc_id", "query_id", k=3), 3, "query_id", "doc_id")
     texts = P.table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("page"), "text")
-    context = R.answer_context(hits.join(texts, "doc_id"))
+    context = R.answer_context(R.small(hits, of=asked).join(texts, "doc_id"))
     return R.prompts(context, asked.select("query_id", F.col("query_text").alias("question")))
 
 

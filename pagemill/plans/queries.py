@@ -132,7 +132,7 @@ def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.best(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), "doc_id", "query_id"), TOP, "query_id", "doc_id")
+    return R.best(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), "doc_id", "query_id", k=TOP), TOP, "query_id", "doc_id")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +142,9 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = R.best(R.bm25(docs, _asked(spark, sf_dir), "doc_id", "query_id"), 3, "query_id", "doc_id")
-    return R.answer_context(hits.join(docs, "doc_id").select("query_id", "rank", "source", F.lit(1).alias("page"), "text"))
+    asked = _asked(spark, sf_dir)
+    hits = R.best(R.bm25(docs, asked, "doc_id", "query_id", k=3), 3, "query_id", "doc_id")
+    return R.answer_context(R.small(hits, of=asked).join(docs, "doc_id").select("query_id", "rank", "source", F.lit(1).alias("page"), "text"))
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
