@@ -8,10 +8,12 @@ import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagemill.sources import convert as C
 from pagemill.store import numbered
@@ -64,29 +66,44 @@ def gather(spark: SparkSession, inputs: list[str], globs: str = DEFAULT_GLOBS) -
     return union_sources(parts).dropDuplicates(["path"])
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some bytes of a column, a row at least: Python's objects for a part are there at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def to_text(files: DataFrame, readers: dict[str, Callable[[bytes, str], str | None]] | None = None, strict: bool = False) -> DataFrame:
     """files with text and status: ok, unsupported (no reader for the format), or failed with the reason; strict makes failures errors.
 
     readers: by format, functions of a file's bytes and stem that give its text or None, as for pdf and image, for which there is none here. They run before the converters and must be picklable.
     """
 
-    @F.pandas_udf("text string, status string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for kinds, paths, contents in batches:
-            out = []
-            for kind, path, raw in zip(kinds, paths, contents, strict=True):
-                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                try:
-                    data = gzip.decompress(raw) if path.lower().endswith(".gz") else raw
-                    found = readers[kind](data, stem) if readers and kind in readers else C.to_markdown(kind, data.decode("utf-8", "replace"), stem)
-                    out.append((found, "unsupported" if found is None else "ok"))
-                except Exception as e:  # noqa: BLE001 - a document's own fault is its status
-                    if strict:
-                        raise
-                    out.append((None, f"failed: {type(e).__name__}"))
-            yield pd.DataFrame(out, columns=["text", "status"])
-
-    return files.withColumn("r", read("format", "path", "content")).select(*(c for c in files.columns if c != "content"), "r.text", "r.status")
+    kept = [c for c in files.columns if c != "content"]
+
+    def one(kind: str, path: str, raw: bytes) -> tuple[str | None, str]:
+        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        try:
+            data = gzip.decompress(raw) if path.lower().endswith(".gz") else raw
+            found = readers[kind](data, stem) if readers and kind in readers else C.to_markdown(kind, data.decode("utf-8", "replace"), stem)
+            return found, "unsupported" if found is None else "ok"
+        except Exception as e:  # noqa: BLE001 - a document's own fault is its status
+            if strict:
+                raise
+            return None, f"failed: {type(e).__name__}"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, len(kept)):
+                rows = zip(*(piece.column(c).to_pylist() for c in ("format", "path", "content")), strict=True)
+                texts, said = zip(*(one(*r) for r in rows), strict=True)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.string()), pa.array(said, pa.string())], names=[*kept, "text", "status"])
+
+    out = StructType([*(files.schema[c] for c in kept), StructField("text", StringType()), StructField("status", StringType())])
+    return files.select(*kept, "content").mapInArrow(read, out)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
